@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import queries_algorithms
+from orrery.llm import queries_algorithms, queries_language
 
-_MODULES = (queries_algorithms,)
+_MODULES = (queries_algorithms, queries_language)
 
 
 def queries() -> dict:
