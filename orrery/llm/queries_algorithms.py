@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import topn
-from orrery.tables import current_symbols, run_limit
+from orrery.llm import knn, topn
+from orrery.tables import current_clusters, current_symbols, run_limit, table
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +16,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("group_id").alias("cluster_id"), F.col("item_id").alias("symbol_id"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ``knn_k`` most similar clusters of every current cluster with a usable description vector."""
+    rows = current_clusters(spark, folder, "description_embedding")
+    dim = table(spark, folder, "index_meta").agg(F.max("embedder_dim")).head()[0]
+    return knn.nearest(rows, "id", "description_embedding", dim, run_limit(spark, folder, "knn_k"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of which one is among the nearest of the other."""
+    found = p3_neighbours(spark, folder)
+    return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found}
 
 ORACLES = {
     "p5_found": r"""
