@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import knn, topn
-from orrery.tables import current_clusters, current_symbols, run_limit, table
+from orrery.llm import knn, mixing, packing, pieces, topn
+from orrery.tables import current_clusters, current_files, current_symbols, run_limit, table
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +29,50 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found}
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every current symbol whose text is longer than ``piece_max``."""
+    limit, overlap = run_limit(spark, folder, "piece_max"), run_limit(spark, folder, "piece_overlap")
+    symbols = current_symbols(spark, folder, "path", "range_start_line", "range_end_line", "signature")
+    long = pieces.oversized_symbols(symbols, current_files(spark, folder, "text"), limit)
+    return pieces.cut_items(long, limit, overlap).withColumnRenamed("item_id", "symbol_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The symbols that had to be cut."""
+    return p6_pieces(spark, folder).filter("piece_no = 0").select("symbol_id")
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or piece of one that is too large, with its container."""
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", run_limit(spark, folder, "pack_capacity"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and the share of space used."""
+    capacity = run_limit(spark, folder, "pack_capacity")
+    full = p8_packed(spark, folder).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+    out = full.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.sum("k").alias("pieces"))
+    return out.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 6))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture: one row for every time a document is used."""
+    return _mixed(spark, folder)[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached."""
+    return _mixed(spark, folder)[1]
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report,
+}
 
 ORACLES = {
     "p5_found": r"""
@@ -38,4 +81,11 @@ ORACLES = {
         r AS (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY pagerank DESC, id) AS k FROM s
               WHERE regexp_matches(cluster_id, '\S') AND pagerank IS NOT NULL AND NOT isnan(pagerank))
         SELECT cluster_id, id AS symbol_id FROM r WHERE k <= (SELECT int_value FROM run_limits WHERE name = 'top_n')""",
+    "p6_found": r"""
+        WITH s AS (SELECT * FROM (SELECT id, path, range_start_line AS a, range_end_line AS b,
+                     row_number() OVER (PARTITION BY id ORDER BY updated_at_epoch DESC NULLS LAST, path, range_start_line, range_end_line, signature) AS rn FROM symbols) WHERE rn = 1),
+        f AS (SELECT file_path, regexp_split_to_array(ltrim(text, chr(65279)), '\r\n|\n') AS lines FROM
+                (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY seen_at DESC NULLS LAST, text) AS rn FROM source_files) WHERE rn = 1)
+        SELECT s.id AS symbol_id FROM s JOIN f ON f.file_path = s.path
+        WHERE length(array_to_string(f.lines[greatest(least(a, b), 1):greatest(a, b)], chr(10))) > (SELECT int_value FROM run_limits WHERE name = 'piece_max')""",
 }
