@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import queries_algorithms, queries_language
+from orrery.llm import queries_algorithms, queries_code, queries_language
 
-_MODULES = (queries_algorithms, queries_language)
+_MODULES = (queries_algorithms, queries_code, queries_language)
 
 
 def queries() -> dict:
