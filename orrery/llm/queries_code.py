@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import pairs, syntax
+from orrery.llm import handwritten, pairs, syntax
 from orrery.operators.hierarchy import norm_path
 from orrery.tables import current_files, table
 
@@ -38,5 +38,17 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(_judged(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_rates": p2_rates}
+def p7_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and verdict of every current file."""
+    options = table(spark, folder, "watcher_options").select("repo", "ignore_extra").dropDuplicates(["repo"])
+    verdicts, _ = handwritten.judge(current_files(spark, folder, "repo", "text").join(options, "repo", "left"))
+    return verdicts
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that nobody here wrote by hand."""
+    return p7_verdicts(spark, folder).filter("foreign").select("file_path")
+
+
+QUERIES = {"p7_found": p7_found, "p7_verdicts": p7_verdicts, "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_rates": p2_rates}
 ORACLES: dict[str, str] = {}
