@@ -25,7 +25,7 @@ from orrery.lineage import Cuts
 #: Buckets of character n-grams and of all other features; length of the n-grams.
 TEXT_BUCKETS, OTHER_BUCKETS, GRAM = 1 << 14, 1 << 12, 4
 #: Bound on the labelled files of each class the classifier is fitted with.
-LABELLED_FILES = 2500
+LABELLED_FILES = 1200
 #: A body shorter than this tells nothing by being repeated.
 LEAST_BODY = 200
 
@@ -163,13 +163,13 @@ def features(body: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 OTHER_WEIGHT = 0.35
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 250) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 150) -> np.ndarray:
     """Weights (the last is the bias) of a linear support-vector classifier: squared hinge loss, classes weighted alike,
     accelerated gradient descent."""
     size = TEXT_BUCKETS + OTHER_BUCKETS + 1
-    owner = np.repeat(np.arange(len(rows)), [len(a) + 1 for a, _ in rows])
-    at = np.concatenate([np.append(a, size - 1) for a, _ in rows]).astype(np.int64)
-    value = np.concatenate([np.append(v, 1.0) for _, v in rows]).astype(np.float64)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) + 1 for a, _ in rows])
+    at = np.concatenate([np.append(a, np.int32(size - 1)) for a, _ in rows])
+    value = np.concatenate([np.append(v, np.float32(1)) for _, v in rows])
     sign = np.where(labels, 1.0, -1.0)
     share = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (~labels).sum()))
     most = max(np.bincount(owner, value**2).max(), 1.0)
@@ -259,16 +259,16 @@ def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame,
                 text = plain(text)
                 body = text[opening_end(text) :].strip()
                 a, v = features(body, tokens_of(path, body, lines))
-                out.append((repo, label, a.tolist(), v.tolist()))
+                out.append((repo, label, a.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["repo", "label", "at", "value"])
 
-    sample = files.join(F.broadcast(pick), "file_path").mapInPandas(vectorise, "repo string, label boolean, at array<int>, value array<float>").collect()
-    sample.sort(key=lambda r: (r["repo"] or "", r["label"], r["at"]))
+    sample = files.join(F.broadcast(pick), "file_path").mapInPandas(vectorise, "repo string, label boolean, at binary, value binary").collect()
+    sample.sort(key=lambda r: (r["repo"] or "", r["label"], bytes(r["at"])))
     labels = np.array([r["label"] for r in sample], bool)
     report = {"labelled": len(sample), "foreign": int(labels.sum())}
     if not len(sample) or labels.all() or not labels.any():
         return spark.createDataFrame([], VERDICTS), report
-    rows = [(np.array(r["at"], np.int32), np.array(r["value"], np.float32)) for r in sample]
+    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in sample]
     held = np.array([int(hashlib.blake2b((r["repo"] or "").encode(), digest_size=2).hexdigest(), 16) % 4 == 0 for r in sample])
     if held.any() and not held.all() and labels[~held].any() and not labels[~held].all():
         trial = fit([x for x, h in zip(rows, held) if not h], labels[~held])
