@@ -223,7 +223,7 @@ def _found(p: Packrat, i: int, end: int, doc: str | None) -> Declaration:
             if own is not None and opened == own + 1 or s.kinds[opened - 1] in (">", "]", "=", "function", "async", WORD):
                 parameters = tuple(s.values[j] for j in range(opened + 1, k) if s.kinds[j] == WORD)
                 break
-    head = " ".join(s.text[s.starts[i] : s.ends[end - 1]].split())
+    head = " ".join(s.text[s.starts[i] : s.end(end - 1)].split())
     return Declaration(s.values[own] if own is not None else "", s.starts[i], s.line(s.starts[i]), head, parameters, doc)
 
 
@@ -375,7 +375,7 @@ def _above(s: Source, comments: dict[int, tuple[int, int]], i: int) -> str | Non
         if line in comments:
             break
         start = _attribute_start(s, i)
-        if start is None or s.line(s.ends[i - 1] - 1) < line:
+        if start is None or s.line(s.end(i - 1) - 1) < line:
             return None
         line, i = s.line(s.starts[start]) - 1, start
     if line not in comments:

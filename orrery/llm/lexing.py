@@ -69,15 +69,14 @@ _BEFORE_REGEX = frozenset("return typeof instanceof in of new delete void throw
 class Source:
     """Tokens of one text: kinds, values, offsets, whether each begins a line, its partner bracket; comments; the first fault."""
 
-    __slots__ = ("text", "language", "kinds", "values", "starts", "ends", "begins", "partner", "comments", "fault", "_lines")
+    __slots__ = ("text", "language", "kinds", "values", "starts", "begins", "partner", "comments", "fault", "_lines")
 
     def __init__(self, text: str, language: str):
         self.text, self.language = text, language
         self.kinds: list[str] = []
         self.values: list[str] = []
         self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.begins: list[bool] = []
+        self.begins = bytearray()
         self.partner: dict[int, int] = {}
         self.comments: list[tuple[int, int]] = []
         self.fault: tuple[int, str] | None = None
@@ -87,6 +86,10 @@ class Source:
         if self.fault is None:
             self.fault = (at, why)
 
+    def end(self, i: int) -> int:
+        """The offset behind token i."""
+        return self.starts[i] + len(self.values[i])
+
     def line(self, at: int) -> int:
         """The 1-based line of an offset."""
         if self._lines is None:
@@ -104,13 +107,19 @@ def language_of(path: str) -> str | None:
     return EXTENSIONS.get(path.rpartition(".")[2].lower()) if "." in path else None
 
 
+#: Marks that change nothing but the list of tokens.
+_PLAIN_MARKS = frozenset("... => === !== == != <= && || ?? ?. ++ -- += -= *= %= &= |= ^= ** << - + * % & | ^ ! ~ > = ? : ; , . @ := <- &^ >= >> :: -> .. ..=".split())
+
+
 def scan(text: str, language: str, jsx: bool = False) -> Source:
     """Tokens of a text without byte order mark."""
     if language == "python":
         return _scan_python(text)
     out = Source(text, language)
-    kinds, values, starts, ends, begins = out.kinds, out.values, out.starts, out.ends, out.begins
-    js = language in ("javascript", "typescript")
+    kinds, values, starts = out.kinds, out.values, out.starts
+    add_kind, add_value, add_start = kinds.append, values.append, starts.append
+    firsts: list[int] = []
+    js, rust = language in ("javascript", "typescript"), language == "rust"
     match = (_JS if js else _GO if language == "go" else _RUST).match
     at, size, fresh = 0, len(text), True
     stack: list[tuple[str, int]] = []
@@ -125,86 +134,93 @@ def scan(text: str, language: str, jsx: bool = False) -> Source:
             at = _unreadable(out, text, at)
             fresh = True
             continue
-        which = m.lastindex
+        which, at = m.lastindex, m.end()
+        if which == 4:
+            if fresh:
+                firsts.append(len(kinds))
+                fresh = False
+            value = m[4]
+            add_kind(WORD)
+            add_value(value)
+            add_start(at - len(value))
+            continue
         if which == 1:
-            fresh, at = True, m.end()
+            fresh = True
             continue
-        begin, end = m.span(which)
-        if which == 2:
-            out.comments.append((begin, end))
-            at = end
+        value = m[which]
+        begin = at - len(value)
+        if which == 8 or which == 9:
+            kind = value
+            if value not in _PLAIN_MARKS:
+                if value in ("/", "/="):
+                    r = _REGEX.match(text, begin) if js and not _divides(kinds, values, out) else None
+                    if r:
+                        kind, at, value = STRING, r.end(), r.group()
+                elif value == "<":
+                    if jsx and js and not _divides(kinds, values, out):
+                        tail = _jsx_end(text, begin)
+                        if tail > 0:
+                            kind, at, value = STRING, tail, text[begin:tail]
+                elif value in "{([":
+                    stack.append((value, len(kinds)))
+                elif value in "})]":
+                    if not stack:
+                        out.blame(begin, "closer without opener")
+                    elif stack[-1][0] == "`" and value == "}":
+                        # The text of a template goes on after its expression.
+                        at = _template_end(out, text, begin, at, stack, len(kinds), True)
+                        if at < 0:
+                            out.blame(begin, "unterminated template")
+                            break
+                        kind, value = STRING, text[begin:at]
+                    elif CLOSER.get(stack[-1][0]) != value:
+                        out.blame(begin, "closer of another kind")
+                        stack.pop()
+                    else:
+                        _, opened = stack.pop()
+                        out.partner[opened] = len(kinds)
+                        out.partner[len(kinds)] = opened
+        elif which == 2:
+            out.comments.append((begin, at))
             continue
-        if which == 3:
-            if language == "rust":
-                end = _rust_comment_end(text, begin)
-                if end < 0:
+        elif which == 3:
+            if rust:
+                at = _rust_comment_end(text, begin)
+                if at < 0:
                     out.blame(begin, "unterminated comment")
                     break
-            if "\n" in text[begin:end]:
+            if "\n" in text[begin:at]:
                 fresh = True
-            out.comments.append((begin, end))
-            at = end
+            out.comments.append((begin, at))
             continue
-        value = m.group(which)
-        if which == 4:
-            kind = WORD
-            if js and value[0] == "#" and len(value) == 1:
-                out.blame(begin, "unexpected character")
         elif which == 5:
             kind = NUMBER
-            if end < size and (text[end].isalnum() or text[end] == "_"):
+            if at < size and (text[at].isalnum() or text[at] == "_"):
                 out.blame(begin, "malformed number")
-        elif which == 7 and js:
-            kind, end = STRING, _template_end(out, text, begin, end, stack, len(kinds))
-            if end < 0:
+        elif which == 7:
+            kind, at = STRING, _template_end(out, text, begin, at, stack, len(kinds))
+            if at < 0:
                 out.blame(begin, "unterminated template")
                 break
-            value = text[begin:end]
-        elif language == "rust" and which in (6, 7, 8):
-            # Groups 7 and 8 lie inside group 6: the hashes of a raw string, a lifetime.
-            begin, end = m.span(6)
-            value = m.group(6)
-            kind = LIFETIME if which == 8 else STRING
-        elif which == 6:
-            kind = STRING
+            value = text[begin:at]
         else:
-            kind = value
-            if js and value in ("/", "/=") and not _divides(kinds, values, out):
-                r = _REGEX.match(text, begin)
-                if r:
-                    kind, end, value = STRING, r.end(), r.group()
-            elif js and jsx and value == "<" and not _divides(kinds, values, out):
-                tail = _jsx_end(text, begin)
-                if tail > 0:
-                    kind, end, value = STRING, tail, text[begin:tail]
-            if value == "{" or value == "(" or value == "[":
-                stack.append((value, len(kinds)))
-            elif value == "}" or value == ")" or value == "]":
-                if not stack:
-                    out.blame(begin, "closer without opener")
-                elif stack[-1][0] == "`" and value == "}":
-                    # The text of a template goes on after its expression.
-                    end = _template_end(out, text, begin, end, stack, len(kinds), True)
-                    if end < 0:
-                        out.blame(begin, "unterminated template")
-                        break
-                    kind, value = STRING, text[begin:end]
-                elif CLOSER.get(stack[-1][0]) != value:
-                    out.blame(begin, "closer of another kind")
-                    stack.pop()
-                else:
-                    _, opened = stack.pop()
-                    out.partner[opened] = len(kinds)
-                    out.partner[len(kinds)] = opened
-        kinds.append(kind)
-        values.append(value)
-        starts.append(begin)
-        ends.append(end)
-        begins.append(fresh)
-        fresh = False
-        at = end
+            # A quote that does not come again is a lifetime.
+            kind = LIFETIME if rust and value[0] == "'" and value[-1] != "'" else STRING
+        if fresh:
+            firsts.append(len(kinds))
+            fresh = False
+        add_kind(kind)
+        add_value(value)
+        add_start(begin)
     if stack:
         out.blame(starts[stack[-1][1]] if stack[-1][1] < len(starts) else size, "premature end")
+    return _finish(out, firsts)
+
+
+def _finish(out: Source, firsts: list[int]) -> Source:
+    begins = out.begins = bytearray(len(out.kinds))
+    for i in firsts:
+        begins[i] = 1
     return out
 
 
@@ -326,7 +342,9 @@ def _braces_end(text: str, at: int) -> int:
 
 def _scan_python(text: str) -> Source:
     out = Source(text, "python")
-    kinds, values, starts, ends, begins = out.kinds, out.values, out.starts, out.ends, out.begins
+    kinds, values, starts = out.kinds, out.values, out.starts
+    add_kind, add_value, add_start = kinds.append, values.append, starts.append
+    firsts: list[int] = []
     match, at, size, fresh = _PY.match, 0, len(text), True
     stack: list[tuple[str, int]] = []
     while at < size:
@@ -337,44 +355,54 @@ def _scan_python(text: str) -> Source:
                 break
             at = _unreadable(out, text, at)
             continue
-        which = m.lastindex
+        which, at = m.lastindex, m.end()
         if which == 1:
-            fresh, at = True, m.end()
+            fresh = True
             continue
-        begin, end = m.span(which)
-        at = end
-        if which == 2:
-            out.comments.append((begin, end))
+        value = m[which]
+        begin = at - len(value)
+        if which == 6:
+            kind = WORD
+        elif which == 7:
+            kind = value
+            if value in CLOSER:
+                if fresh and not stack:
+                    firsts.append(len(kinds))
+                fresh = False
+                stack.append((value, len(kinds)))
+            elif value in (")", "]", "}"):
+                if not stack:
+                    out.blame(begin, "closer without opener")
+                elif CLOSER[stack[-1][0]] != value:
+                    out.blame(begin, "closer of another kind")
+                    stack.pop()
+                else:
+                    _, opened = stack.pop()
+                    out.partner[opened] = len(kinds)
+                    out.partner[len(kinds)] = opened
+        elif which == 2:
+            out.comments.append((begin, at))
             continue
-        if which == 3:
+        elif which == 3:
             continue
-        value = m.group(which)
-        kind = STRING if which == 4 else NUMBER if which == 5 else WORD if which == 6 else value
-        if kind == NUMBER and end < size and (text[end].isalnum() or text[end] == "_"):
-            # Words may follow a number directly only as operators, as in "1if x else 2".
-            if not re.match(r"(?:if|else|and|or|in|is|not|for)\b", text[end:]):
-                out.blame(begin, "malformed number")
-        if kind == STRING and value[-1] == value[0] and len(value) == 2 and text.startswith(value[0] * 3, begin):
-            out.blame(begin, "unterminated string")
-            break
-        if value in CLOSER and kind == value:
-            stack.append((value, len(kinds)))
-        elif kind in (")", "]", "}"):
+        elif which == 5:
+            kind = NUMBER
+            if at < size and (text[at].isalnum() or text[at] == "_"):
+                # Words may follow a number directly only as operators, as in "1if x else 2".
+                if not re.match(r"(?:if|else|and|or|in|is|not|for)\b", text[at : at + 8]):
+                    out.blame(begin, "malformed number")
+        else:
+            kind = STRING
+            if len(value) == 2 and text.startswith(value[0] * 3, begin):
+                out.blame(begin, "unterminated string")
+                break
+        if fresh:
             if not stack:
-                out.blame(begin, "closer without opener")
-            elif CLOSER[stack[-1][0]] != kind:
-                out.blame(begin, "closer of another kind")
-                stack.pop()
-            else:
-                _, opened = stack.pop()
-                out.partner[opened] = len(kinds)
-                out.partner[len(kinds)] = opened
-        kinds.append(kind)
-        values.append(value)
-        starts.append(begin)
-        ends.append(end)
-        begins.append(fresh and not stack[:-1] if value in CLOSER else fresh and not stack)
-        fresh = False
+                firsts.append(len(kinds))
+            fresh = False
+        add_kind(kind)
+        add_value(value)
+        add_start(begin)
     if stack:
         out.blame(starts[stack[-1][1]], "premature end")
-    return out
+    return _finish(out, firsts)
