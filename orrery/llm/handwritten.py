@@ -25,7 +25,7 @@ from orrery.lineage import Cuts
 #: Buckets of character n-grams and of all other features; length of the n-grams.
 TEXT_BUCKETS, OTHER_BUCKETS, GRAM = 1 << 14, 1 << 12, 4
 #: Bound on the labelled files of each class the classifier is fitted with.
-LABELLED_FILES = 1200
+LABELLED_FILES = 2200
 #: A body shorter than this tells nothing by being repeated.
 LEAST_BODY = 200
 
@@ -163,7 +163,7 @@ def features(body: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 OTHER_WEIGHT = 0.35
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 150) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 120) -> np.ndarray:
     """Weights (the last is the bias) of a linear support-vector classifier: squared hinge loss, classes weighted alike,
     accelerated gradient descent."""
     size = TEXT_BUCKETS + OTHER_BUCKETS + 1
@@ -271,7 +271,7 @@ def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame,
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in sample]
     held = np.array([int(hashlib.blake2b((r["repo"] or "").encode(), digest_size=2).hexdigest(), 16) % 4 == 0 for r in sample])
     if held.any() and not held.all() and labels[~held].any() and not labels[~held].all():
-        trial = fit([x for x, h in zip(rows, held) if not h], labels[~held])
+        trial = fit([x for x, h in zip(rows, held) if not h], labels[~held], steps=60)
         said = np.array([score(trial, a, v) > 0 for (a, v), h in zip(rows, held) if h])
         report |= {"held_out": int(held.sum()), "accuracy": float((said == labels[held]).mean()), "false_alarms": int((said & ~labels[held]).sum()), "missed": int((~said & labels[held]).sum())}
     weights = spark.sparkContext.broadcast(fit(rows, labels))
