@@ -11,8 +11,8 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
-from orrery.llm import lexing
-from orrery.llm.lexing import STRING, WORD, Source
+from orrery.sources import lexing
+from orrery.sources.lexing import STRING, WORD, Source
 
 Rule = Callable[["Packrat", int], int]
 
@@ -229,18 +229,19 @@ def _found(p: Packrat, i: int, end: int, doc: str | None) -> Declaration:
 
 def _js(s: Source) -> list[Declaration]:
     p, out, members = Packrat(s), [], set()
-    kinds, values, begins, partner = s.kinds, s.values, s.begins, s.partner
-    for i in range(p.size):
-        if kinds[i] == WORD and values[i] == "class" and (i == 0 or kinds[i - 1] not in (".", "?.")):
+    kinds, values, partner = s.kinds, s.values, s.partner
+    for i in _places(values, "class"):
+        if kinds[i] == WORD and (i == 0 or kinds[i - 1] not in (".", "?.")):
             k = i + 1
             while k < p.size and kinds[k] not in ("{", ";", ")"):
                 k = partner[k] + 1 if kinds[k] in ("(", "[") and k in partner else k + 1
             if k < p.size and kinds[k] == "{" and k in partner:
                 members.update(_members(s, k))
     comments = _comments(s)
-    for i in range(p.size):
-        if not begins[i] and i not in members:
-            continue
+    # Only what begins a line or a member can have documentation above it.
+    for i in sorted(members.union(s.firsts)):
+        if i >= p.size:
+            break
         if i in members:
             end = js_method(p, i)
             end = end if end >= 0 else js_field(p, i)
@@ -254,6 +255,17 @@ def _js(s: Source) -> list[Declaration]:
     return out
 
 
+def _places(values: list[str], value: str) -> list[int]:
+    """Where a value stands."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(value, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def _members(s: Source, opened: int) -> list[int]:
     """The tokens at which members of a class begin, behind decorators."""
     out, i, end, start = [], opened + 1, s.partner[opened], True
@@ -286,8 +298,8 @@ def _members(s: Source, opened: int) -> list[int]:
 def _go(s: Source) -> list[Declaration]:
     p, comments = Packrat(s), _comments(s)
     out = []
-    for i in range(p.size):
-        if s.begins[i] and s.values[i] == "func" and s.kinds[i] == WORD:
+    for i in _places(s.values, "func"):
+        if s.begins[i] and s.kinds[i] == WORD:
             end = go_function(p, i)
             if end >= 0:
                 out.append(_found(p, i, end, _above(s, comments, i)))
@@ -311,11 +323,11 @@ def _rust(s: Source) -> list[Declaration]:
 
 def _python(s: Source) -> list[Declaration]:
     p, out = Packrat(s), []
-    for i in range(p.size):
-        if s.kinds[i] != WORD or s.values[i] != "def" and not (s.values[i] == "async" and i + 1 < p.size and s.values[i + 1] == "def"):
-            continue
-        if s.values[i] == "def" and i and s.values[i - 1] == "async" and s.kinds[i - 1] == WORD:
+    for i in _places(s.values, "def"):
+        if s.kinds[i] != WORD:
             continue
+        if i and s.values[i - 1] == "async" and s.kinds[i - 1] == WORD:
+            i -= 1
         end = python_function(p, i)
         if end < 0:
             continue

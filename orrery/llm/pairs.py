@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm import declarations, lexing, prose, syntax
+from orrery.llm import declarations, prose, syntax
+from orrery.sources import lexing
 
 PAIRS = "file_path string, start_line int, name string, language string, signature string, docstring string"
 
@@ -37,6 +39,8 @@ def documented(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Tokens are many short-lived lists without cycles; searching them for cycles only costs time.
+        gc.disable()
         for batch in batches:
             rows = [r for path, text in zip(batch["file_path"], batch["text"]) for r in pairs_of(path, text)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])

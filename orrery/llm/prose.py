@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 # Words of tags, directives and remarks, as they stand in source files.
 #: Directives of tools.
@@ -45,10 +46,9 @@ def parts_of(name: str) -> set[str]:
     return {x.lower() for x in _PART.findall(name)} | {name.lower()}
 
 
-def telling_lines(doc: str) -> list[str]:
+def telling_lines(doc: str) -> Iterator[str]:
     """The lines of a documentation that may say something: without code, rulers, bare tags, directives and remarks."""
-    out = []
-    for line in _FENCE.sub("", doc).splitlines():
+    for line in (_FENCE.sub("", doc) if "```" in doc or "~~~" in doc else doc).splitlines():
         line = line.strip().strip("=-*~_#/ ").strip() if not line.strip().startswith(("@", ":", "-*-", "#", "*", "`")) else line.strip()
         line = re.sub(r"^(?:[*+-]|\d+[.)])\s+", "", line)
         if not re.search(r"[^\W\d_]", line):
@@ -75,8 +75,7 @@ def telling_lines(doc: str) -> list[str]:
             continue
         if _POINTER.match(line) and len(line.split()) <= 7:
             continue
-        out.append(line)
-    return out
+        yield line
 
 
 def says_something(doc: str | None, name: str, parameters: tuple[str, ...] = (), least: int = 3) -> bool:
@@ -93,4 +92,6 @@ def says_something(doc: str | None, name: str, parameters: tuple[str, ...] = (),
         # Identifiers are names, not prose.
         line = re.sub(r"`[^`]*`|\b\w*(?:_\w|[a-z][A-Z])\w*\b|<[^>]*>|https?://\S+", " ", line)
         left += sum(1 for w in _WORD.findall(line) if len(w) > 1 and w.lower() not in known)
-    return left >= least or wide >= 6
+        if left >= least or wide >= 6:
+            return True
+    return False
