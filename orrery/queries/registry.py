@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.queries import hierarchy
+from orrery.queries import graphs, hierarchy, retrieval
 
-_MODULES = (hierarchy,)
+_MODULES = (hierarchy, retrieval, graphs)
 
 
 def queries() -> dict:
