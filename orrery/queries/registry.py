@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.queries import graphs, hierarchy, retrieval
+from orrery.queries import cards, graphs, hierarchy, retrieval
 
-_MODULES = (hierarchy, retrieval, graphs)
+_MODULES = (hierarchy, retrieval, graphs, cards)
 
 
 def queries() -> dict:
