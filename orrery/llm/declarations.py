@@ -203,9 +203,10 @@ class Declaration(NamedTuple):
     doc: str | None
 
 
-def declarations(source: Source) -> list[Declaration]:
-    """All functions and methods of a text, in order."""
-    return {"python": _python, "go": _go, "rust": _rust}.get(source.language, _js)(source)
+def declarations(source: Source, documented: bool = False) -> list[Declaration]:
+    """All functions and methods of a text, in order; with ``documented`` only those that documentation belongs to, of
+    which most places where none stands need not be parsed."""
+    return {"python": _python, "go": _go, "rust": _rust}.get(source.language, _js)(source, documented)
 
 
 def _found(p: Packrat, i: int, end: int, doc: str | None) -> Declaration:
@@ -227,7 +228,7 @@ def _found(p: Packrat, i: int, end: int, doc: str | None) -> Declaration:
     return Declaration(s.values[own] if own is not None else "", s.starts[i], s.line(s.starts[i]), head, parameters, doc)
 
 
-def _js(s: Source) -> list[Declaration]:
+def _js(s: Source, documented: bool) -> list[Declaration]:
     p, out, members = Packrat(s), [], set()
     kinds, values, partner = s.kinds, s.values, s.partner
     for i in _places(values, "class"):
@@ -242,16 +243,22 @@ def _js(s: Source) -> list[Declaration]:
     for i in sorted(members.union(s.firsts)):
         if i >= p.size:
             break
-        if i in members:
+        member = i in members
+        if not member and not (kinds[i] == WORD and values[i] in _JS_START):
+            continue
+        doc = _above(s, comments, i)
+        if documented and doc is None:
+            continue
+        if member:
             end = js_method(p, i)
             end = end if end >= 0 else js_field(p, i)
             if end >= 0 and values[i] not in ("if", "for", "while", "switch", "return", "catch"):
-                out.append(_found(p, i, end, _above(s, comments, i)))
-        elif kinds[i] == WORD and values[i] in _JS_START:
+                out.append(_found(p, i, end, doc))
+        else:
             end = js_function(p, i)
             end = end if end >= 0 else js_bound(p, i)
             if end >= 0:
-                out.append(_found(p, i, end, _above(s, comments, i)))
+                out.append(_found(p, i, end, doc))
     return out
 
 
@@ -295,18 +302,19 @@ def _members(s: Source, opened: int) -> list[int]:
     return out
 
 
-def _go(s: Source) -> list[Declaration]:
+def _go(s: Source, documented: bool) -> list[Declaration]:
     p, comments = Packrat(s), _comments(s)
     out = []
     for i in _places(s.values, "func"):
         if s.begins[i] and s.kinds[i] == WORD:
-            end = go_function(p, i)
+            doc = _above(s, comments, i)
+            end = go_function(p, i) if doc is not None or not documented else -1
             if end >= 0:
-                out.append(_found(p, i, end, _above(s, comments, i)))
+                out.append(_found(p, i, end, doc))
     return out
 
 
-def _rust(s: Source) -> list[Declaration]:
+def _rust(s: Source, documented: bool) -> list[Declaration]:
     p, comments = Packrat(s), _comments(s)
     out, behind = [], -1
     for i in range(p.size):
@@ -314,14 +322,17 @@ def _rust(s: Source) -> list[Declaration]:
             continue
         if not (s.begins[i] or i == 0 or s.kinds[i - 1] in (";", "{", "}", "]")):
             continue
+        doc = _above(s, comments, i)
+        if documented and doc is None:
+            continue
         end = rust_function(p, i)
         if end >= 0:
             behind = end - 1
-            out.append(_found(p, i, end, _above(s, comments, i)))
+            out.append(_found(p, i, end, doc))
     return out
 
 
-def _python(s: Source) -> list[Declaration]:
+def _python(s: Source, documented: bool) -> list[Declaration]:
     p, out = Packrat(s), []
     for i in _places(s.values, "def"):
         if s.kinds[i] != WORD:
@@ -343,6 +354,8 @@ def _python(s: Source) -> list[Declaration]:
                 j += 1
             if parts and (j >= p.size or s.begins[j] or s.kinds[j] == ";"):
                 doc = _python_text(parts)
+        if documented and doc is None:
+            continue
         out.append(_found(p, i, end, doc))
     return out
 
@@ -383,9 +396,7 @@ def _comments(s: Source) -> dict[int, tuple[int, int]]:
 def _above(s: Source, comments: dict[int, tuple[int, int]], i: int) -> str | None:
     """The documentation of the declaration that begins at token i."""
     line = s.line(s.starts[i]) - 1
-    while i > 0:
-        if line in comments:
-            break
+    while i > 0 and line not in comments:
         start = _attribute_start(s, i)
         if start is None or s.line(s.end(i - 1) - 1) < line:
             return None

@@ -26,7 +26,7 @@ def pairs_of(path: str, text: str) -> list[tuple]:
         return []
     return [
         (path, d.start_line, d.name, language, d.signature, d.doc.strip())
-        for d in declarations.declarations(source)
+        for d in declarations.declarations(source, documented=True)
         if d.doc is not None and prose.says_something(d.doc, d.name, d.parameters)
     ]
 
