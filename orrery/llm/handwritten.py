@@ -163,7 +163,7 @@ def features(body: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 OTHER_WEIGHT = 0.35
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 120) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 200) -> np.ndarray:
     """Weights (the last is the bias) of a linear support-vector classifier: squared hinge loss, classes weighted alike,
     accelerated gradient descent."""
     size = TEXT_BUCKETS + OTHER_BUCKETS + 1
@@ -187,12 +187,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty:
     return w
 
 
-SIGNALS = "file_path string, repo string, kind string, shape string, ignored string, body_hash string, body_size int, suspect boolean"
+SIGNALS = "file_path string, repo string, kind string, shape string, ignored string, body_hash string, body_size int, suspect boolean, body_start int, tokens array<string>"
 _SUSPECT = re.compile(r"(?i)(?:^|/)(?:vendor\w*|third[-_]?party|node_modules|_vendor|godeps|external|deps|gen|generated|__generated__|autogen|dist|bundles?)(?:/|$)|\.(?:min|gen|g|pb|generated)\.|_pb2|_generated|_gen\.")
 
 
 def signals(files: DataFrame) -> DataFrame:
-    """What labels are made from, of each of ``file_path, repo, text, ignore_extra``."""
+    """What labels are made from, and all features but n-grams, of each of ``file_path, repo, text, ignore_extra``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,11 +201,12 @@ def signals(files: DataFrame) -> DataFrame:
                 text = plain(text)
                 end = opening_end(text)
                 body = text[end:].strip()
-                kind, _ = shape(body)
-                lines = tuple(lines) if lines is not None else ()
-                flat = " ".join("".join(x.split()) for x in body.split("\n"))
-                ignored = ignore_tokens(path, lines)[0]
-                out.append((path, repo, opening_kind(text[:end]), kind, ignored, hashlib.blake2b(flat.encode("utf-8", "replace"), digest_size=12).hexdigest(), len(body), bool(_SUSPECT.search(path.partition("/")[2]))))
+                kind, shapes = shape(body)
+                ignored = ignore_tokens(path, tuple(lines) if lines is not None else ())
+                flat = "".join(body.split()).encode("utf-8", "replace")
+                tokens = path_tokens(path) + ignored + shapes
+                suspect = bool(_SUSPECT.search(path.partition("/")[2]))
+                out.append((path, repo, opening_kind(text[:end]), kind, ignored[0], hashlib.blake2b(flat, digest_size=12).hexdigest(), len(body), suspect, end, tokens))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNALS.split(", ")])
 
     return files.mapInPandas(run, SIGNALS)
@@ -217,11 +218,6 @@ def plain(text: str | None) -> str:
     return (text[1:] if text.startswith("﻿") else text).replace("\r\n", "\n")
 
 
-def tokens_of(path: str, body: str, lines) -> list[str]:
-    """All features of a file other than n-grams."""
-    return path_tokens(path) + ignore_tokens(path, tuple(lines) if lines is not None else ()) + shape(body)[1]
-
-
 VERDICTS = "file_path string, repo string, score double, foreign boolean, reason string"
 
 
@@ -229,8 +225,8 @@ def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame,
     """``file_path, repo, score, foreign, reason`` of every file, and what validation found.
 
     ``files``: current versions ``file_path, repo, text`` and ``ignore_extra array<string>`` (may be null). A null text
-    counts as empty; empty and nearly empty files are hand-written unless path and list say otherwise. Repeated paths are
-    judged each. With no labelled file of one class nothing is found.
+    counts as empty; empty and nearly empty files are hand-written unless path and list say otherwise. Paths must be
+    unique. With no labelled file of one class nothing is found.
 
     Scale: two passes over the texts, which are shuffled once (to find current versions) by the caller. Copies are found
     by a hash of the body, pre-aggregated. At most ``labelled`` files per class reach the driver, as sparse features; the
@@ -249,20 +245,19 @@ def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame,
     # Of each class the files with the smallest hashes; the limit is taken before any shuffle of more.
     pick = None
     for label in (True, False):
-        part = marks.filter(F.col("label") == label).orderBy(F.xxhash64("file_path")).limit(labelled).select("file_path", "label")
+        part = marks.filter(F.col("label") == label).orderBy(F.xxhash64("file_path")).limit(labelled).select("file_path", "label", "body_start", "tokens")
         pick = part if pick is None else pick.unionByName(part)
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, repo, text, lines, label in zip(*(batch[c] for c in ("file_path", "repo", "text", "ignore_extra", "label"))):
-                text = plain(text)
-                body = text[opening_end(text) :].strip()
-                a, v = features(body, tokens_of(path, body, lines))
+            for repo, text, label, start, tokens in zip(*(batch[c] for c in ("repo", "text", "label", "body_start", "tokens"))):
+                a, v = features(plain(text)[start:].strip(), list(tokens))
                 out.append((repo, label, a.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["repo", "label", "at", "value"])
 
-    sample = files.join(F.broadcast(pick), "file_path").mapInPandas(vectorise, "repo string, label boolean, at binary, value binary").collect()
+    # At most 2 * ``labelled`` rows.
+    sample = files.select("file_path", "repo", "text").join(F.broadcast(pick), "file_path").mapInPandas(vectorise, "repo string, label boolean, at binary, value binary").collect()
     sample.sort(key=lambda r: (r["repo"] or "", r["label"], bytes(r["at"])))
     labels = np.array([r["label"] for r in sample], bool)
     report = {"labelled": len(sample), "foreign": int(labels.sum())}
@@ -279,20 +274,22 @@ def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, repo, text, lines, was in zip(*(batch[c] for c in ("file_path", "repo", "text", "ignore_extra", "copied"))):
-                text = plain(text)
-                end = opening_end(text)
-                body = text[end:].strip()
-                tokens = tokens_of(path, body, lines)
-                s = score(weights.value, *features(body, tokens))
-                kind = opening_kind(text[:end])
-                # The exact check: an opening that names its maker decides, and a text that other repositories hold too.
-                verdict = True if kind in ("generated", "foreign") else False if kind == "own" else bool(was) or s > 0
-                why = kind or (("copied" if was else shape(body)[0] or "classifier") if verdict else "")
+            for path, repo, text, was, kind, own_shape, ignored, start, tokens in zip(*(batch[c] for c in ("file_path", "repo", "text", "copied", "kind", "shape", "ignored", "body_start", "tokens"))):
+                s = score(weights.value, *features(plain(text)[start:].strip(), list(tokens)))
+                # The exact check: an opening that names its maker decides, a text that other repositories hold too, and
+                # a path that the repository takes back from its ignore list.
+                if kind in ("generated", "foreign"):
+                    verdict = True
+                elif kind == "own" or ignored == "ignored:taken back":
+                    verdict = False
+                else:
+                    verdict = bool(was) or s > 0
+                why = kind or (("copied" if was else own_shape or "classifier") if verdict else "")
                 out.append((path, repo, float(s), verdict, why))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
 
-    flagged = files.join(marks.filter("copied").select("file_path", "copied"), "file_path", "left").fillna(False, ["copied"])
+    # A path has one current version, so its marks are joined by path; texts are shuffled at most once more for this.
+    flagged = files.select("file_path", "text").join(marks.select("file_path", "repo", "copied", "kind", "shape", "ignored", "body_start", "tokens"), "file_path")
     return flagged.mapInPandas(run, VERDICTS), report
 
 
