@@ -389,7 +389,9 @@ def _comments(s: Source) -> dict[int, tuple[int, int]]:
             above = out.get(line - 1)
             if above and text.startswith("//", above[0]):
                 begin = above[0]
-        out[s.line(end - 1 if end > begin else end)] = (begin, end)
+        else:
+            line += text.count("\n", begin, end)
+        out[line] = (begin, end)
     return out
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,8 +38,7 @@ def documented(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Tokens are many short-lived lists without cycles; searching them for cycles only costs time.
-        gc.disable()
+        syntax.quiet()
         for batch in batches:
             rows = [r for path, text in zip(batch["file_path"], batch["text"]) for r in pairs_of(path, text)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 # Words of tags, directives and remarks, as they stand in source files.
 #: Directives of tools.
@@ -41,9 +42,10 @@ _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_A-Za-z]+")
 
 
-def parts_of(name: str) -> set[str]:
+@lru_cache(maxsize=100_000)
+def parts_of(name: str) -> frozenset[str]:
     """The words a name is made of, in lower case."""
-    return {x.lower() for x in _PART.findall(name)} | {name.lower()}
+    return frozenset([name.lower(), *(x.lower() for x in _PART.findall(name))])
 
 
 def telling_lines(doc: str) -> Iterator[str]:
@@ -83,9 +85,7 @@ def says_something(doc: str | None, name: str, parameters: tuple[str, ...] = (),
     besides the words of the name and the parameters and words that bind others."""
     if not doc:
         return False
-    known = set(PLAIN) | parts_of(name)
-    for p in parameters:
-        known |= parts_of(p)
+    known = PLAIN.union(parts_of(name), *map(parts_of, parameters))
     left, wide = 0, 0
     for line in telling_lines(doc):
         wide += len(_WIDE.findall(line))
