@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.queries import cards, graphs, hierarchy, retrieval
+from orrery.queries import cards, changes, graphs, hierarchy, retrieval
 
-_MODULES = (hierarchy, retrieval, graphs, cards)
+_MODULES = (hierarchy, retrieval, graphs, cards, changes)
 
 
 def queries() -> dict:

@@ -117,8 +117,9 @@ def scan(text: str, language: str, jsx: bool = False) -> Source:
     if language == "python":
         return _scan_python(text)
     out = Source(text, language)
-    kinds, values, starts = out.kinds, out.values, out.starts
-    add_kind, add_value, add_start = kinds.append, values.append, starts.append
+    kinds, values = out.kinds, out.values
+    ends: list[int] = []
+    add_kind, add_value, add_end = kinds.append, values.append, ends.append
     firsts: list[int] = []
     js, rust = language in ("javascript", "typescript"), language == "rust"
     match = (_JS if js else _GO if language == "go" else _RUST).match
@@ -140,10 +141,9 @@ def scan(text: str, language: str, jsx: bool = False) -> Source:
             if fresh:
                 firsts.append(len(kinds))
                 fresh = False
-            value = m[4]
             add_kind(WORD)
-            add_value(value)
-            add_start(at - len(value))
+            add_value(m[4])
+            add_end(at)
             continue
         if which == 1:
             fresh = True
@@ -212,13 +212,14 @@ def scan(text: str, language: str, jsx: bool = False) -> Source:
             fresh = False
         add_kind(kind)
         add_value(value)
-        add_start(begin)
-    if stack:
-        out.blame(starts[stack[-1][1]] if stack[-1][1] < len(starts) else size, "premature end")
-    return _finish(out, firsts)
+        add_end(at)
+    return _finish(out, firsts, ends, stack)
 
 
-def _finish(out: Source, firsts: list[int]) -> Source:
+def _finish(out: Source, firsts: list[int], ends: list[int], stack: list[tuple[str, int]]) -> Source:
+    out.starts = starts = [e - len(v) for e, v in zip(ends, out.values)]
+    if stack:
+        out.blame(starts[stack[-1][1]] if stack[-1][1] < len(starts) else len(out.text), "premature end")
     begins = out.begins = bytearray(len(out.kinds))
     for i in firsts:
         if i < len(begins):
@@ -345,8 +346,9 @@ def _braces_end(text: str, at: int) -> int:
 
 def _scan_python(text: str) -> Source:
     out = Source(text, "python")
-    kinds, values, starts = out.kinds, out.values, out.starts
-    add_kind, add_value, add_start = kinds.append, values.append, starts.append
+    kinds, values = out.kinds, out.values
+    ends: list[int] = []
+    add_kind, add_value, add_end = kinds.append, values.append, ends.append
     firsts: list[int] = []
     match, at, size, fresh = _PY.match, 0, len(text), True
     stack: list[tuple[str, int]] = []
@@ -405,7 +407,5 @@ def _scan_python(text: str) -> Source:
             fresh = False
         add_kind(kind)
         add_value(value)
-        add_start(begin)
-    if stack:
-        out.blame(starts[stack[-1][1]], "premature end")
-    return _finish(out, firsts)
+        add_end(at)
+    return _finish(out, firsts, ends, stack)
