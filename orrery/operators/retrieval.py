@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +101,8 @@ def hash_embedding(text: str, dim: int) -> list[float]:
 
 def embed_column(df: DataFrame, text: str, dim: int, out: str = "embedding", embed=hash_embedding) -> DataFrame:
     """Adds a vector for every text by an Arrow-batched function; null texts have null vectors. ``embed`` may be any function of text and dimension."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<float>")
+    @F.pandas_udf("array<float>")
     def run(batches: pd.Series) -> pd.Series:
         return batches.map(lambda t: None if t is None else embed(t, dim))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.queries import cards, changes, graphs, hierarchy, retrieval
+from orrery.queries import cards, changes, graphs, hierarchy, parsing, retrieval
 
-_MODULES = (hierarchy, retrieval, graphs, cards, changes)
+_MODULES = (hierarchy, retrieval, graphs, cards, changes, parsing)
 
 
 def queries() -> dict:

@@ -32,6 +32,15 @@ class _Result:
         self.edges: list[tuple] = []
         self.bases: list[tuple] = []
         self.warnings: list[str] = []
+        self.seen: set[tuple] = set()
+
+    def imported(self, name: str, module: str, line: int, text: str, relative: str | None = None) -> None:
+        """An import edge and a module symbol named by the last part of the module."""
+        self.edges.append((self.path, name, relative, "imports"))
+        last = [x for x in re.split(r"[/.:{}, ]+", module) if x]
+        if last and (self.path, last[-1]) not in self.seen:
+            self.seen.add((self.path, last[-1]))
+            self.symbols.append((f"{self.path}::{last[-1]}", "module", line, line, text, None))
 
     def symbol(self, owner: str, name: str, kind: str, first: int, last: int, signature: str | None, doc: str | None) -> str:
         ident = f"{owner}::{name}"
@@ -88,11 +97,12 @@ def _python(out: _Result, text: str) -> None:
                 walk(node.body, ident, True)
             elif isinstance(node, ast.Import):
                 for a in node.names:
-                    out.edges.append((out.path, a.name, None, "imports"))
+                    out.imported(a.name, a.name, node.lineno, lines[node.lineno - 1].strip())
             elif isinstance(node, ast.ImportFrom):
                 module = "." * node.level + (node.module or "")
                 for a in node.names:
-                    out.edges.append((out.path, f"{module}.{a.name}" if module and not module.endswith(".") else module + a.name, module or None, "imports"))
+                    name = f"{module}.{a.name}" if module and not module.endswith(".") else module + a.name
+                    out.imported(name, module.strip(".") or a.name, node.lineno, lines[node.lineno - 1].strip(), module if module.startswith(".") else None)
             elif isinstance(node, (ast.If, ast.Try, ast.With, ast.For, ast.While)):
                 for part in ("body", "orelse", "finalbody"):
                     walk(getattr(node, part, []) or [], owner, in_class)
@@ -187,6 +197,10 @@ def _script(out: _Result, s: Source) -> None:
             for m in _member_names(s, opened, end):
                 members[m] = ident
             owners.append((end, ident))
+        elif ts and word in ("namespace", "module") and kinds[i + 1 : i + 3] == [WORD, "{"]:
+            end = _close(s, i + 1, n)
+            ident = out.symbol(owner, after, "module", line, s.line(s.starts[end]), _line_of(s, i), _doc_above(s, _first(s, i)))
+            owners.append((end, ident))
         elif ts and word in ("interface", "enum", "type") and i + 1 < n and kinds[i + 1] == WORD and not s.begins[i + 1] and kinds[i + 2 : i + 3] in (["{"], ["="], ["<"], [WORD]):
             end = _close(s, i + 1, n)
             out.symbol(owner, after, "interface" if word == "interface" else "type", line, s.line(s.starts[end]), _line_of(s, i), _doc_above(s, _first(s, i)))
@@ -208,10 +222,10 @@ def _script(out: _Result, s: Source) -> None:
                 k += 1
             if k < n and kinds[k] == STRING:
                 module = values[k][1:-1]
-                out.edges.append((out.path, module, module if module.startswith(".") else None, "imports"))
+                out.imported(module, module, line, _line_of(s, i), module if module.startswith(".") else None)
         elif word == "require" and not ts and kinds[i + 1 : i + 3] == ["(", STRING]:
             module = values[i + 2][1:-1]
-            out.edges.append((out.path, module, module if module.startswith(".") else None, "imports"))
+            out.imported(module, module, line, _line_of(s, i), module if module.startswith(".") else None)
     _calls(out, s, spans)
 
 
@@ -292,7 +306,7 @@ def _go(out: _Result, s: Source) -> None:
             last = s.partner.get(k, k + 1)
             for j in range(k, min(n, last + 1)):
                 if kinds[j] == STRING:
-                    out.edges.append((out.path, values[j][1:-1], None, "imports"))
+                    out.imported(values[j][1:-1], values[j][1:-1], s.line(s.starts[j]), _line_of(s, j))
     _calls(out, s, spans)
 
 
@@ -317,6 +331,9 @@ def _rust(out: _Result, s: Source) -> None:
             ident = out.symbol(owner, values[i + 1], "interface" if word == "trait" else "type", line, s.line(s.starts[end]), _line_of(s, i), _doc_above(s, _first(s, i)))
             if word == "trait":
                 owners.append((end, ident, "impl"))
+        elif word == "mod" and kinds[i + 1 : i + 3] == [WORD, "{"]:
+            end = _close(s, i + 1, n)
+            owners.append((end, out.symbol(owner, values[i + 1], "module", line, s.line(s.starts[end]), _line_of(s, i), _doc_above(s, _first(s, i))), "mod"))
         elif word == "impl" and (s.begins[i] or kinds[i - 1] in ("}", ";", "]")):
             end = _close(s, i + 1, n)
             names, depth = [[]], 0
@@ -338,7 +355,8 @@ def _rust(out: _Result, s: Source) -> None:
             k = i + 1
             while k < n and kinds[k] != ";":
                 k += 1
-            out.edges.append((out.path, "".join(values[i + 1 : k]), None, "imports"))
+            module = "".join(values[i + 1 : k])
+            out.imported(module, module, line, _line_of(s, i))
     _calls(out, s, spans)
 
 
