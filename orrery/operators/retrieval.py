@@ -81,7 +81,9 @@ def mixed_similarity(rows: DataFrame, query: list[float], text: str, vector: str
     hay = F.lower(F.concat_ws(" ", "name", "description"))
     lexical_score = (sum((hay.contains(t).cast("int") for t in tokens), F.lit(0)) / len(tokens)) if tokens else F.lit(0.0)
     rows = rows.withColumn("__q", F.array(*[F.lit(float(x)) for x in query]))
-    return rows.withColumn("score", F.coalesce((dot(vector, "__q") + 1) / 2, lexical_score)).drop("__q")
+    # Vectors that are not finite count as missing.
+    near = F.when(F.abs(dot(vector, "__q")) < float("inf"), (dot(vector, "__q") + 1) / 2)
+    return rows.withColumn("score", F.coalesce(near, lexical_score)).drop("__q")
 
 
 def hash_embedding(text: str, dim: int) -> list[float]:

@@ -22,7 +22,7 @@ PARSED = (
     " edges array<struct<from_id:string,to_name:string,to_path:string,kind:string>>, inheritance array<struct<class_id:string,base_name:string,base_path:string>>, warnings array<string>"
 )
 #: Words that look like calls but are none.
-_NO_CALL = frozenset("if for while switch catch return function func fn match loop else typeof new await super with case def class import require go defer select make".split())
+_NO_CALL = frozenset("if for while switch catch return function func fn match loop else typeof new await super with case def class import require go defer select make async".split())
 
 
 class _Result:
@@ -157,7 +157,7 @@ def _calls(out: _Result, s: Source, spans: list[tuple[int, int, str]]) -> None:
             if spans[at][1] >= i:
                 stack.append(spans[at])
             at += 1
-        if stack and s.kinds[i] == "(" and i and s.kinds[i - 1] == WORD and i > stack[-1][0] and s.values[i - 1] not in _NO_CALL:
+        if stack and s.kinds[i] == "(" and i and s.kinds[i - 1] == WORD and i - 1 > stack[-1][0] and s.values[i - 1] not in _NO_CALL:
             if i > 1 and s.values[i - 2] in ("function", "func", "fn", "def"):
                 continue
             out.edges.append((stack[-1][2], s.values[i - 1], None, "calls"))
