@@ -20,14 +20,19 @@ def pairs_of(path: str, text: str) -> list[tuple]:
     if language is None or not text:
         return []
     text = lexing.without_mark(text)
+    # Documentation is a string in Python and a comment elsewhere: a text without any has no pair.
+    if ("def" not in text or "'" not in text and '"' not in text) if language == "python" else ("//" not in text and "/*" not in text):
+        return []
     source = lexing.scan(text, language, path.endswith("x"))
-    if syntax.fault_of(text, language, path.endswith("x"), source) is not None:
+    if source.fault and language != "python":
         return []
-    return [
+    rows = [
         (path, d.start_line, d.name, language, d.signature, d.doc.strip())
         for d in declarations.declarations(source, documented=True)
-        if d.doc is not None and prose.says_something(d.doc, d.name, d.parameters)
+        if prose.says_something(d.doc, d.name, d.parameters)
     ]
+    # Whether the file is valid matters only if something was found in it.
+    return rows if rows and syntax.fault_of(text, language, path.endswith("x"), source) is None else []
 
 
 def documented(files: DataFrame) -> DataFrame:
