@@ -32,6 +32,8 @@ LEAST_WORDS, LEAST_SIGNS = 3, 6
 LEAD = 0.08
 #: Bound on the labelled sentences of each language that prototypes are refined with.
 LABELLED_SENTENCES = 600
+#: About how many documents, by a hash of the text, are searched for labelled sentences.
+LABELLED_DOCUMENTS = 20_000
 #: Factor on cosines where prototypes are corrected.
 SHARPNESS = 15.0
 
@@ -318,12 +320,17 @@ def retrain(profiles: Profiles, langs: list[str], texts: list[str], rounds: int
     return Profiles(profiles.names, centre, centred=True)
 
 
-def fit(documents: DataFrame, reference: list[dict], text: str = "text", label: str = "lang", per_language: int = LABELLED_SENTENCES, passes: int = 2) -> Profiles:
+def fit(documents: DataFrame, reference: list[dict], text: str = "text", label: str = "lang", per_language: int = LABELLED_SENTENCES, bound: int = LABELLED_DOCUMENTS, passes: int = 2) -> Profiles:
     """Prototypes of the sample texts, refined with a bounded sample of labelled sentences.
 
-    At most ``per_language`` sentences a language reach the driver. With no labelled document the samples alone serve.
+    About ``bound`` documents, chosen by a hash of their text, are searched, and at most ``per_language`` sentences a
+    language reach the driver. With no labelled document the samples alone serve.
     """
     profiles, codes = fit_reference(reference), label_codes(reference)
+    documents = documents.select(F.col(label), F.col(text)).filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    total = documents.count()
+    if total > bound:
+        documents = documents.filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * bound / total))
     for _ in range(passes):
         rows = labelled_sentences(profiles, documents, codes, per_language, text, label).collect()
         rows.sort()
