@@ -97,6 +97,11 @@ def ignored_by(rules: list[IgnoreRule], path: str) -> IgnoreRule | None:
     return found
 
 
+@lru_cache(maxsize=10_000)
+def _rules_of(lines: tuple[str, ...]) -> list[IgnoreRule]:
+    return ignore_rules(lines)
+
+
 #: Directories that no walk enters, whatever the ignore list says.
 HARD_EXCLUDES = ("node_modules", ".git")
 
@@ -105,5 +110,5 @@ def is_ignored(path: str, lines: list[str] | tuple[str, ...], hard: tuple[str, .
     """Whether a path is left out: a hard exclude wins, then the last matching line decides."""
     if any(part in hard for part in path.split("/")):
         return True
-    rule = ignored_by(ignore_rules(tuple(lines)), path)
+    rule = ignored_by(_rules_of(tuple(lines)), path)
     return rule is not None and not rule.negated

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +38,7 @@ class Cuts:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def cut(self, df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return the table read back."""
@@ -58,6 +60,14 @@ class Cuts:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove all tables this application has written here; results that still read them must be stored before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write one table to the shared folder and return it read back."""
     return Cuts(df.sparkSession, label).cut(df)

@@ -11,7 +11,7 @@ from orrery.operators.retrieval import embed_column
 from orrery.queries.retrieval import S, symbols
 from orrery.sources import files as L
 from orrery.sources import parse as P
-from orrery.tables import current_files
+from orrery.tables import current_files, table
 
 
 def _files(spark, folder) -> DataFrame:
@@ -70,7 +70,27 @@ def walk_size_filter(spark, folder):
     return _files(spark, folder).filter("language is not null").groupBy("language").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (parse_symbols, parse_edges, parse_inheritance, parse_warnings, parser_agreement, snippet_window, hash_embeddings, walk_size_filter)}
+def ignored_files(spark, folder):
+    """Current files by whether their repository's list leaves them out."""
+    from orrery.sources.events import ignored
+
+    options = table(spark, folder, "watcher_options").select("repo", "ignore_extra").dropDuplicates(["repo"])
+    rows = table(spark, folder, "source_files").select("repo", "file_path").distinct().join(options, "repo", "left")
+    below = F.expr("substring(file_path, length(repo) + 2)")
+    return rows.groupBy("repo", ignored(below, "ignore_extra").alias("ignored")).agg(F.count("*").alias("files"))
+
+
+def signal_cards(spark, folder):
+    """Front matter and body of the cards of all named clusters, by hash."""
+    from orrery.operators import skills as B
+    from orrery.queries.retrieval import clusters
+
+    rows = clusters(spark, folder).filter("name_status = 'named'")
+    head = B.front_matter({"id": F.col("id"), "name": F.col("name"), "size": F.col("size")})
+    return rows.select("id", F.sha2(head, 256).alias("head_sha256"), F.length(head).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (parse_symbols, parse_edges, parse_inheritance, parse_warnings, parser_agreement, snippet_window, hash_embeddings, walk_size_filter, ignored_files, signal_cards)}
 
 _F = """f AS (SELECT file_path AS path, text, n_bytes FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY seen_at DESC NULLS LAST, text, n_bytes) AS rn FROM source_files) WHERE rn = 1)"""
 ORACLES = {
