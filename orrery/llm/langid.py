@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,8 +249,8 @@ def fit_reference(reference: list[dict], dimension: int = DIMENSION) -> Profiles
 
 
 def labelled_sentences(profiles: Profiles, documents: DataFrame, codes: dict[str, str], per_language: int, text: str, label: str) -> DataFrame:
-    """``lang, sentence``: at most ``per_language`` different sentences, by hash, of documents that as a whole are nearest to
-    the language their label names."""
+    """``lang, sentence``: at most ``per_language`` different sentences, the most frequent first, of documents that as a
+    whole are nearest to the language their label names."""
     names = profiles.names
     start = documents.sparkSession.sparkContext.broadcast(profiles.raw)
     centred = profiles.centred
@@ -265,11 +266,16 @@ def labelled_sentences(profiles: Profiles, documents: DataFrame, codes: dict[str
                     cos = np.average(here.cosines(own), axis=0, weights=[len(t) for t in own])
                     if names[int(cos.argmax())] == lang:
                         out += [(lang, t) for t in dict.fromkeys(own)]
-            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["lang", "sentence"])
+            counts = Counter(out)
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "sentence", "n"])
 
     known = documents.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).filter("label is not null and text is not null")
-    found = known.mapInPandas(pick, "lang string, sentence string").groupBy("lang", "sentence").agg(F.count("*").alias("n"))
-    window = Window.partitionBy("lang").orderBy(F.xxhash64("sentence"), "sentence")
+    found = known.mapInPandas(pick, "lang string, sentence string, n int").groupBy("lang", "sentence").agg(F.sum("n").alias("n"))
+    # A sentence that occurs under several labels belongs to the one it has most often; documents in several languages
+    # would teach the wrong one otherwise.
+    best = F.struct("n", F.xxhash64("lang"))
+    found = found.groupBy("sentence").agg(F.max_by("lang", best).alias("lang"), F.max("n").alias("n"))
+    window = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.xxhash64("sentence"), "sentence")
     return found.withColumn("k", F.row_number().over(window)).filter(F.col("k") <= per_language).select("lang", "sentence")
 
 
