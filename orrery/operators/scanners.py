@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ ERROR_ROOTS = ("Error", "Exception", "BaseException", "RuntimeError", "TypeError
 TEST_PATHS = r"(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[a-z]+$|_test\.(?:go|py)$|(?:^|/)test_[^/]+\.py$|Test\.[a-z]+$"
 #: Least places of evidence.
 LEAST = 2
+#: Levels of error families that are written as one table.
+MERGED = 8
 
 
 def needle_match(module: Column, needle: Column) -> Column:
@@ -45,17 +49,18 @@ def all_libraries(matches: DataFrame) -> DataFrame:
     return matches.groupBy("library").agg(F.countDistinct("file").alias("files")).filter(F.col("files") >= LEAST)
 
 
-def error_families(inheritance: DataFrame, roots: tuple[str, ...] = ERROR_ROOTS, max_depth: int = 20) -> DataFrame:
+def error_families(inheritance: DataFrame, roots: tuple[str, ...] = ERROR_ROOTS) -> DataFrame:
     """``root, class_id, depth``: transitive descendants of every root by the last part of the base's name.
 
-    Children are found level by level; a class counts once per root with its least depth.
+    Children are found level by level until a level is empty; a class counts once per root with its least depth, which
+    also ends cycles. The levels found are written together every ``MERGED`` levels, so plans stay small at any depth.
     """
     spark, cuts = inheritance.sparkSession, Cuts(inheritance.sparkSession, "errors")
     last = F.element_at(F.split(F.regexp_replace("base_name", r"[<\[(].*$", ""), r"\.|::"), -1)
     rows = cuts.cut(inheritance.filter("class_id is not null and base_name is not null").select("class_id", last.alias("base"), F.element_at(F.split("class_id", "::"), -1).alias("name")).distinct())
     level = spark.createDataFrame([(r, r) for r in roots], "root string, at string")
     found: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         fresh = rows.join(level, F.col("base") == F.col("at")).select("root", "class_id", "name").distinct()
         if found is not None:
             fresh = fresh.join(found.select("root", "class_id"), ["root", "class_id"], "left_anti")
@@ -64,6 +69,8 @@ def error_families(inheritance: DataFrame, roots: tuple[str, ...] = ERROR_ROOTS,
             break
         rows_here = fresh.select("root", "class_id", F.lit(depth).alias("depth"))
         found = rows_here if found is None else found.unionByName(rows_here)
+        if depth % MERGED == 0:
+            found = cuts.cut(found)
         level = fresh.select("root", F.col("name").alias("at")).distinct()
     return found if found is not None else spark.createDataFrame([], "root string, class_id string, depth int")
 

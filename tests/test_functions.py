@@ -97,3 +97,10 @@ def test_scanners(spark):
     fam = scanners.error_families(spark.createDataFrame(rows, "class_id string, base_name string"))
     assert {(r["class_id"], r["depth"]) for r in fam.filter("root = 'Error'").collect()} == {("a::A", 1), ("a::B", 2), ("a::C", 3), ("c::E", 4), ("c::B", 5)}
     assert tuple(scanners.largest_family(fam).head()) == ("Error", 5)
+
+
+def test_error_families_of_any_depth(spark):
+    chain = [("a::C1", "Error")] + [(f"a::C{i}", f"C{i - 1}") for i in range(2, 28)] + [("b::C5", "C27")]
+    fam = scanners.error_families(spark.createDataFrame(chain, "class_id string, base_name string"))
+    assert {(r["class_id"], r["depth"]) for r in fam.collect()} == {(f"a::C{i}", i) for i in range(1, 28)} | {("b::C5", 28)}
+    assert tuple(scanners.largest_family(fam).head()) == ("Error", 28)
