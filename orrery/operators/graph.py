@@ -106,26 +106,29 @@ def write_back_ranks(symbols: DataFrame, ranks: DataFrame) -> DataFrame:
     return symbols.join(ranks.withColumnRenamed("rank", "__rank"), "id", "left").withColumn("pagerank", F.coalesce("__rank", "pagerank")).drop("__rank")
 
 
-def louvain(edges: DataFrame, resolution: float = 1.5, rounds: int = 10, passes: int = 3) -> DataFrame:
-    """``id, community`` by synchronous local moving with modularity gains, then contraction, ``passes`` times.
+def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000) -> DataFrame:
+    """``id, community`` by synchronous local moving with modularity gains, then contraction, until neither changes anything.
 
     Undirected weights are summed. A node moves to the neighbouring community of greatest gain (ties: smaller name); only
     half of the nodes, by a hash that changes every round, may move at once, so that neighbours do not swap for ever.
+    A pass ends when no node gains by a move, whether or not the hash lets it; the last pass is one without a move. More
+    than ``bound`` rounds in a pass or ``bound`` passes are an error, never a result.
     Deterministic. Communities are named by their smallest member id. Nodes without edges do not appear.
     """
     cuts = Cuts(edges.sparkSession, "louvain")
     both = edges.filter("from_id is not null and to_id is not null").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     level = cuts.cut(both)
+    level_at, member_at = cuts.last(), None
     total = level.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0]
     member = level.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
     if not total:
         return member
-    for _ in range(passes):
-        strength = cuts.cut(level.groupBy("a").agg(F.sum("w").alias("k")))
-        state = cuts.cut(strength.select("a", F.col("a").alias("c"), "k"))
+    for _ in range(bound):
+        state = cuts.cut(level.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"))
+        state_at = cuts.last()
         moved_any = False
-        for turn in range(rounds):
+        for turn in range(bound):
             sums = state.groupBy("c").agg(F.sum("k").alias("tot"))
             to = level.filter("a <> b").join(state.select(F.col("a").alias("b"), F.col("c").alias("nc")), "b").groupBy("a", "nc").agg(F.sum("w").alias("w"))
             own = state.select("a", "c", "k")
@@ -136,21 +139,29 @@ def louvain(edges: DataFrame, resolution: float = 1.5, rounds: int = 10, passes:
             best = cand.groupBy("a").agg(F.max_by("nc", F.struct("gain", F.col("nc"))).alias("nc"), F.max("gain").alias("gain"))
             chosen = state.join(best, "a", "left").join(stay, "a", "left")
             may = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
-            better = may & (F.col("gain") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0)) + 1e-9) & (F.col("nc") != F.col("c"))
-            fresh = cuts.cut(chosen.select("a", F.when(better, F.col("nc")).otherwise(F.col("c")).alias("c"), "k", F.coalesce(better, F.lit(False)).alias("moved")))
-            moves = fresh.filter("moved").count()
+            wants = F.coalesce((F.col("gain") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0)) + 1e-9) & (F.col("nc") != F.col("c")), F.lit(False))
+            chosen = chosen.withColumn("wants", wants).withColumn("moved", F.col("wants") & may)
+            fresh = cuts.cut(chosen.select("a", F.when(F.col("moved"), F.col("nc")).otherwise(F.col("c")).alias("c"), "k", "wants", "moved"))
+            cuts.drop(state_at)
+            state_at = cuts.last()
+            wanting, moves = fresh.agg(F.count_if("wants"), F.count_if("moved")).head()
             state = fresh.select("a", "c", "k")
             moved_any |= moves > 0
-            if not moves and turn % 2:
+            if not wanting:
                 break
+        else:
+            raise RuntimeError(f"louvain: nodes still move after {bound} rounds")
+        if not moved_any:
+            return member
         names = state.groupBy("c").agg(F.min("a").alias("name"))
         state = state.join(names, "c").select("a", F.col("name").alias("c"))
         member = cuts.cut(member.join(state.withColumnRenamed("a", "community"), "community").select("id", F.col("c").alias("community")))
-        if not moved_any:
-            break
+        old, member_at = [level_at, state_at] + [member_at] * (member_at is not None), cuts.last()
         level = level.join(state.select("a", F.col("c").alias("ca")), "a").join(state.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
         level = cuts.cut(level.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return member
+        level_at = cuts.last()
+        cuts.drop(*old)
+    raise RuntimeError(f"louvain: communities still merge after {bound} passes")
 
 
 def modularity(edges: DataFrame, member: DataFrame, resolution: float = 1.0) -> float:

@@ -112,3 +112,20 @@ def test_louvain_finds_cliques(spark):
     assert one == {r["id"]: r["community"] for r in G.louvain(df, resolution=1.0).collect()}
     assert G.modularity(df, member) > 0.4
     assert G.louvain(df.filter(F.lit(False))).count() == 0
+
+
+def test_louvain_runs_to_its_end(spark):
+    n, resolution = 200, 0.1
+    edges = [(f"n{i}", f"n{(i + 1) % n}", 1.0) for i in range(n)]
+    df = spark.createDataFrame(edges, "from_id string, to_id string, weight double")
+    one = {r["id"]: r["community"] for r in G.louvain(df, resolution=resolution).collect()}
+    strength, links = {}, {}
+    for a, b, w in edges:
+        for x, y in ((one[a], one[b]), (one[b], one[a])):
+            strength[x] = strength.get(x, 0) + w
+            if x != y:
+                links[x, y] = links.get((x, y), 0) + w
+    total = sum(strength.values())
+    assert not [p for p, w in links.items() if w - resolution * strength[p[0]] * strength[p[1]] / total > 1e-6]
+    with pytest.raises(RuntimeError):
+        G.louvain(df, resolution=resolution, bound=2)
