@@ -102,9 +102,8 @@ def pagerank_fixed(spark, folder):
 
 
 def pagerank_converged(spark, folder):
-    """Ranks at convergence, the first thousand."""
-    ranks = G.pagerank(symbols(spark, folder), table(spark, folder, "edges"))
-    return ranks.orderBy(F.col("rank").desc(), "id").limit(1000).withColumn("rank", F.round("rank", 9))
+    """Ranks of all symbols at convergence by the library's rule (see the README)."""
+    return G.pagerank(symbols(spark, folder), table(spark, folder, "edges")).withColumn("rank", F.round("rank", 9))
 
 
 def louvain(spark, folder):

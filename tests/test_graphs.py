@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from orrery.operators import graph as G
 from orrery.operators import hierarchy as H
 from orrery.operators import reach as R
+from orrery.queries.graphs import pagerank_converged
 
 
 def brute(parents):
@@ -129,3 +130,17 @@ def test_louvain_runs_to_its_end(spark):
     assert not [p for p, w in links.items() if w - resolution * strength[p[0]] * strength[p[1]] / total > 1e-6]
     with pytest.raises(RuntimeError):
         G.louvain(df, resolution=resolution, bound=2)
+
+
+def test_pagerank_converged_returns_every_symbol(spark, tmp_path):
+    rows = [(f"f::s{i}", "f", "s", None, 1) for i in range(1100)]
+    syms = spark.createDataFrame(rows, "id string, path string, kind string, text string, updated_at_epoch int")
+    for c in ("language", "signature", "docstring", "cluster_id", "updated_at_commit"):
+        syms = syms.withColumn(c, F.col("text"))
+    syms = syms.withColumn("pagerank", F.lit(0.0)).withColumn("range_start_line", F.lit(1)).withColumn("range_end_line", F.lit(1))
+    syms.write.parquet(f"{tmp_path}/symbols.parquet")
+    edges = [(f"f::s{i}", "f::s0", "calls", 1.0) for i in range(1, 50)]
+    spark.createDataFrame(edges, "from_id string, to_id string, kind string, weight double").write.parquet(f"{tmp_path}/edges.parquet")
+    ranks = {r["id"]: r["rank"] for r in pagerank_converged(spark, str(tmp_path)).collect()}
+    assert set(ranks) == {r[0] for r in rows} and max(ranks, key=ranks.get) == "f::s0"
+    assert sum(ranks.values()) == pytest.approx(1, abs=1e-5)
