@@ -64,11 +64,12 @@ def batch_hydrate(spark, folder):
 
 
 def path_equality(spark, folder):
-    """The first 50 symbols of every file by pagerank, then id."""
+    """The first 50 symbols of every file by pagerank (NaN and null last), then id."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("path").orderBy(F.col("pagerank").desc_nulls_last(), "id")
-    return symbols(spark, folder).filter(~F.isnan(F.coalesce("pagerank", F.lit(0.0)))).withColumn("n", F.row_number().over(order)).filter("n <= 50").select("path", "id", "n")
+    rank = F.when(F.isnan("pagerank"), None).otherwise(F.col("pagerank"))
+    order = Window.partitionBy("path").orderBy(rank.desc_nulls_last(), "id")
+    return symbols(spark, folder).withColumn("n", F.row_number().over(order)).filter("n <= 50").select("path", "id", "n")
 
 
 def knn_l2(spark, folder):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import globs, since, text
 from orrery.operators import clustering, retrieval, scanners, skills
+from orrery.queries.retrieval import path_equality
 
 
 def test_globs():
@@ -104,3 +105,13 @@ def test_error_families_of_any_depth(spark):
     fam = scanners.error_families(spark.createDataFrame(chain, "class_id string, base_name string"))
     assert {(r["class_id"], r["depth"]) for r in fam.collect()} == {(f"a::C{i}", i) for i in range(1, 28)} | {("b::C5", 28)}
     assert tuple(scanners.largest_family(fam).head()) == ("Error", 28)
+
+
+def test_path_equality_keeps_symbols_without_a_rank(spark, tmp_path):
+    rows = [("f::a", "f", float("nan"), 1), ("f::b", "f", 0.1, 1), ("f::c", "f", None, 1), ("f::d", "f", 0.3, 1), ("f::e", "f", float("nan"), 1), ("g::x", "g", float("nan"), 1)]
+    syms = spark.createDataFrame(rows, "id string, path string, pagerank double, updated_at_epoch int")
+    for c in ("language", "kind", "signature", "docstring", "cluster_id", "updated_at_commit"):
+        syms = syms.withColumn(c, F.lit(None).cast("string"))
+    syms.withColumn("range_start_line", F.lit(1)).withColumn("range_end_line", F.lit(1)).write.parquet(f"{tmp_path}/symbols.parquet")
+    got = {(r["path"], r["n"]): r["id"] for r in path_equality(spark, str(tmp_path)).collect()}
+    assert got == {("f", 1): "f::d", ("f", 2): "f::b", ("f", 3): "f::a", ("f", 4): "f::c", ("f", 5): "f::e", ("g", 1): "g::x"}
