@@ -22,8 +22,8 @@ WORD, NUMBER, STRING, LIFETIME = "w", "n", "s", "l"
 
 CLOSER = {"(": ")", "[": "]", "{": "}"}
 
-#: Merge-conflict markers at the start of a line.
-CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: .*)?$|^={7}$", re.M)
+#: Merge-conflict markers and heads of diff hunks at the start of a line.
+CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: .*)?\r?$|^={7}\r?$|^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@", re.M)
 
 _SPACE = r"[ \t\r\f\v ]*"
 _NAME = r"[^\W\d]\w*"
@@ -366,6 +366,7 @@ def _scan_python(text: str) -> Source:
             continue
         value = m[which]
         begin = at - len(value)
+        outer = not stack
         if which == 6:
             kind = WORD
         elif which == 7:
@@ -402,7 +403,7 @@ def _scan_python(text: str) -> Source:
                 out.blame(begin, "unterminated string")
                 break
         if fresh:
-            if not stack:
+            if outer:
                 firsts.append(len(kinds))
             fresh = False
         add_kind(kind)
