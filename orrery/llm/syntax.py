@@ -11,12 +11,15 @@ from __future__ import annotations
 import ast
 import gc
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm import syntax_python
 from orrery.sources import lexing
 from orrery.sources.lexing import NUMBER, STRING, WORD, Source
 
@@ -36,11 +39,19 @@ _JS_SPECIAL = _JS_OPERAND_FIRST | _JS_RESERVED | _TS_PREFIX | _JS_PREFIX | _TS_I
 _STATEMENTS = frozenset("break continue const let var function class if while for switch try throw return do import export debugger".split())
 
 
-def quiet() -> None:
-    """Once a process: the parser's warnings about odd literals are of no concern here, nor is searching the many
+@contextmanager
+def quiet() -> Iterator[None]:
+    """While many files are read: the parser's warnings about odd literals are of no concern, nor is searching the many
     short-lived lists of tokens for cycles."""
-    warnings.simplefilter("ignore", SyntaxWarning)
+    was = gc.isenabled()
     gc.disable()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)
+            yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def fault_of(text: str, language: str, jsx: bool = False, source: Source | None = None) -> tuple[int, str] | None:
@@ -50,6 +61,8 @@ def fault_of(text: str, language: str, jsx: bool = False, source: Source | None
         return _python_fault(text, source)
     if source.fault:
         return source.fault
+    if marker := _marker(source):
+        return marker
     if language == "go":
         return _go_fault(source)
     if language == "rust":
@@ -57,18 +70,27 @@ def fault_of(text: str, language: str, jsx: bool = False, source: Source | None
     return _js_fault(source, language == "typescript")
 
 
+def _marker(s: Source) -> tuple[int, str] | None:
+    """A line of a merge conflict or of a diff that stands among the tokens, not in a string or a comment."""
+    text = s.text
+    if "\n<<<<<<<" not in text and "\n>>>>>>>" not in text and "\n=======" not in text and "\n|||||||" not in text and "\n@@ " not in text and text[:3] not in ("<<<", ">>>", "===", "|||", "@@ "):
+        return None
+    for m in lexing.CONFLICT.finditer(text):
+        i = bisect_left(s.starts, m.start())
+        if i < len(s.starts) and s.starts[i] == m.start() and s.kinds[i] not in (STRING, WORD):
+            return m.start(), "conflict marker"
+    return None
+
+
 def _python_fault(text: str, source: Source) -> tuple[int, str] | None:
+    """What the pushdown pass blames; the interpreter's own parser, an exact check, is asked about those texts only."""
+    found = syntax_python.fault_of(source)
+    if found is None:
+        return None
     try:
         ast.parse(text)
-    except SyntaxError as e:
-        if source.fault:
-            return source.fault
-        lines = text.split("\n")
-        return sum(len(x) + 1 for x in lines[: max(0, (e.lineno or 1) - 1)]), e.msg.split("(")[0].strip()
-    except ValueError:
-        return 0, "null byte"
-    except (RecursionError, MemoryError):
-        return source.fault
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return found
     return None
 
 
@@ -113,6 +135,8 @@ def _js_fault(s: Source, ts: bool) -> tuple[int, str] | None:
                     pass
                 elif kind == STRING and value[0] == "`":
                     pass
+                elif previous == WORD and before in ("break", "continue") and kind == WORD and not begins[i] and not (i > 1 and kinds[i - 2] in (".", "?.")):
+                    pass
                 elif previous == WORD and before in prefix and (ts or before in ("async", "let", "of", "await", "yield", "as", "from", "using", "accessor") or frame.kind in ("class", "object")):
                     pass
                 elif previous == ">" or frame.head in ("type", "declare", "import", "export"):
