@@ -4,7 +4,8 @@ Features are hashed character n-grams of the text without its opening comments (
 themselves away), path components, what the repository's ignore list says of the path, the shape of the lines and
 statements. Labels come from what is masked: the openings, texts that also stand in another repository, and shapes that
 no hand writes; the classifier carries them over to files without such marks. Repositories, not files, are split into
-training and validation. A last exact check lets an opening that names its maker, or a copy, decide.
+training and validation. The margin alone finds files; an exact check behind it only takes back those whose opening says
+that own hands keep them, or which the repository takes back from its ignore list.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from orrery.lineage import Cuts
 
 #: Buckets of character n-grams and of all other features; length of the n-grams.
 TEXT_BUCKETS, OTHER_BUCKETS, GRAM = 1 << 14, 1 << 12, 4
-#: Bound on the labelled files of each class the classifier is fitted with.
-LABELLED_FILES = 2200
+#: Bounds on the labelled files of each class the classifier is fitted with, and on the bytes of their features.
+LABELLED_FILES, LABELLED_BYTES = 2200, 48_000_000
+#: Bytes of one feature on its way to the driver.
+FEATURE_BYTES = 6
 #: A body shorter than this tells nothing by being repeated.
 LEAST_BODY = 200
 
@@ -163,36 +166,69 @@ def features(body: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 OTHER_WEIGHT = 0.35
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 3e-4, steps: int = 200) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support-vector classifier: squared hinge loss, classes weighted alike,
-    accelerated gradient descent."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 1e-3, steps: int = 80, tolerance: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) of a linear support-vector classifier: squared hinge loss, classes weighted alike.
+
+    Quasi-Newton steps of limited memory, until the gradient is ``tolerance`` of the first one or ``steps`` are made.
+    """
     size = TEXT_BUCKETS + OTHER_BUCKETS + 1
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) + 1 for a, _ in rows])
-    at = np.concatenate([np.append(a, np.int32(size - 1)) for a, _ in rows])
-    value = np.concatenate([np.append(v, np.float32(1)) for _, v in rows])
+    lengths = np.array([len(a) + 1 for a, _ in rows])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    at = np.concatenate([np.append(a, size - 1) for a, _ in rows]).astype(np.int32)
+    value = np.concatenate([np.append(v, 1) for _, v in rows]).astype(np.float32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     sign = np.where(labels, 1.0, -1.0)
     share = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (~labels).sum()))
-    most = max(np.bincount(owner, value**2).max(), 1.0)
-    step = 1 / (2 * most + penalty)
-    w = y = np.zeros(size)
-    t = 1.0
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        slack = np.maximum(0, 1 - sign * np.add.reduceat(value * w.astype(np.float32)[at], starts))
+        pull = (-2 * share * sign * slack).astype(np.float32)
+        # Rows beyond the margin pull nothing.
+        held = np.flatnonzero(slack > 0)
+        if 2 * len(held) < len(rows):
+            where = np.concatenate([np.arange(starts[r], starts[r] + lengths[r]) for r in held] or [np.zeros(0, int)])
+            grad = np.bincount(at[where], value[where] * pull[owner[where]], size)
+        else:
+            grad = np.bincount(at, value * pull[owner], size)
+        return float(share @ slack**2 + penalty / 2 * (w @ w)), grad + penalty * w
+
+    w = np.zeros(size)
+    now, grad = loss(w)
+    first, pairs = np.linalg.norm(grad), []
     for _ in range(steps):
-        margin = sign * np.bincount(owner, value * y[at], len(rows))
-        slack = np.maximum(0, 1 - margin)
-        grad = np.bincount(at, value * (-2 * share * sign * slack)[owner], size) + penalty * y
-        new = y - step * grad
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t2 * (new - w)
-        w, t = new, t2
+        if np.linalg.norm(grad) <= tolerance * first:
+            break
+        step, kept = grad.copy(), []
+        for s, y, rho in reversed(pairs):
+            kept.append(rho * (s @ step))
+            step -= kept[-1] * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            step *= (s @ y) / (y @ y)
+        for (s, y, rho), a in zip(pairs, reversed(kept)):
+            step += (a - rho * (y @ step)) * s
+        slope, length = grad @ step, 1.0
+        for _ in range(30):
+            new = w - length * step
+            then, fresh = loss(new)
+            if then <= now - 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, y = new - w, fresh - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y, 1 / (s @ y))][-10:]
+        w, now, grad = new, then, fresh
     return w
 
 
-SIGNALS = "file_path string, repo string, kind string, shape string, ignored string, body_hash string, body_size int, suspect boolean, body_start int, tokens array<string>"
+SIGNALS = "file_path string, repo string, kind string, shape string, ignored string, body_hash string, body_size int, suspect boolean, tokens array<string>, body string"
 _SUSPECT = re.compile(r"(?i)(?:^|/)(?:vendor\w*|third[-_]?party|node_modules|_vendor|godeps|external|deps|gen|generated|__generated__|autogen|dist|bundles?)(?:/|$)|\.(?:min|gen|g|pb|generated)\.|_pb2|_generated|_gen\.")
 
 
 def signals(files: DataFrame) -> DataFrame:
-    """What labels are made from, and all features but n-grams, of each of ``file_path, repo, text, ignore_extra``."""
+    """What labels are made from, all features but n-grams, and the body, of each of ``file_path, repo, text, ignore_extra``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,7 +242,7 @@ def signals(files: DataFrame) -> DataFrame:
                 flat = "".join(body.split()).encode("utf-8", "replace")
                 tokens = path_tokens(path) + ignored + shapes
                 suspect = bool(_SUSPECT.search(path.partition("/")[2]))
-                out.append((path, repo, opening_kind(text[:end]), kind, ignored[0], hashlib.blake2b(flat, digest_size=12).hexdigest(), len(body), suspect, end, tokens))
+                out.append((path, repo, opening_kind(text[:end]), kind, ignored[0], hashlib.blake2b(flat, digest_size=12).hexdigest(), len(body), suspect, tokens, body))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNALS.split(", ")])
 
     return files.mapInPandas(run, SIGNALS)
@@ -221,76 +257,96 @@ def plain(text: str | None) -> str:
 VERDICTS = "file_path string, repo string, score double, foreign boolean, reason string"
 
 
-def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame, dict]:
-    """``file_path, repo, score, foreign, reason`` of every file, and what validation found.
-
-    ``files``: current versions ``file_path, repo, text`` and ``ignore_extra array<string>`` (may be null). A null text
-    counts as empty; empty and nearly empty files are hand-written unless path and list say otherwise. Paths must be
-    unique. With no labelled file of one class nothing is found.
-
-    Scale: two passes over the texts, which are shuffled once (to find current versions) by the caller. Copies are found
-    by a hash of the body, pre-aggregated. At most ``labelled`` files per class reach the driver, as sparse features; the
-    weights, a fixed number, are broadcast.
-    """
-    spark, cuts = files.sparkSession, Cuts(files.sparkSession, "handwritten")
-    files = cuts.cut(files.select("file_path", "repo", "text", "ignore_extra").filter("file_path is not null"))
-    marks = cuts.cut(signals(files))
+def _labelled(marks: DataFrame, labelled: int) -> list[tuple[int, bool]]:
+    """Hash of the path and label of the files to be fitted with: of each class those with the smallest hashes, at most
+    ``labelled``, and no more than ``LABELLED_BYTES`` of features together."""
+    marks = marks.drop("body")
+    # Copies: one row a body, pre-aggregated.
     groups = marks.filter(F.col("body_size") >= LEAST_BODY).groupBy("body_hash").agg(F.min("repo").alias("least"), F.max("repo").alias("most"))
     copied = groups.filter(F.col("least") != F.col("most")).select("body_hash", F.lit(True).alias("copied"))
-    marks = cuts.cut(marks.join(copied, "body_hash", "left").fillna(False, ["copied"]))
+    marks = marks.join(copied, "body_hash", "left").fillna(False, ["copied"])
     foreign = (F.col("kind").isin("generated", "foreign")) | F.col("copied") | (F.col("shape") != "")
     own = (F.col("kind") == "own") | (F.col("kind") == "") & ~F.col("suspect") & (F.col("ignored").isin("ignored:no", "ignored:plain", "ignored:taken back"))
     own = own | (F.col("ignored") == "ignored:taken back") & (F.col("kind") == "")
-    marks = marks.withColumn("label", F.when(foreign & (F.col("kind") != "own"), True).when(own, False))
-    # Of each class the files with the smallest hashes; the limit is taken before any shuffle of more.
-    pick = None
-    for label in (True, False):
-        part = marks.filter(F.col("label") == label).orderBy(F.xxhash64("file_path")).limit(labelled).select("file_path", "label", "body_start", "tokens")
-        pick = part if pick is None else pick.unionByName(part)
+    marks = marks.withColumn("label", F.when(foreign & (F.col("kind") != "own"), True).when(own, False)).filter("label is not null")
+    key = F.xxhash64("file_path").alias("key")
+    weight = (F.least(F.col("body_size"), F.lit(TEXT_BUCKETS)) + F.size("tokens")) * FEATURE_BYTES
+    parts = [marks.filter(F.col("label") == x).select(key, "label", weight.alias("bytes")).orderBy("key").limit(labelled) for x in (True, False)]
+    out, used = [], {True: 0, False: 0}
+    for row in parts[0].unionByName(parts[1]).orderBy("key").collect():
+        used[row["label"]] += row["bytes"]
+        if used[row["label"]] <= LABELLED_BYTES:
+            out.append((row["key"], row["label"]))
+    return out
+
+
+def train(marks: DataFrame, labelled: int = LABELLED_FILES) -> tuple[np.ndarray | None, dict]:
+    """Weights fitted on the labelled files of ``marks`` (from ``signals``), None where a class has none, and the report of
+    the validation: a quarter of the repositories is held out of a trial fitted in the same way."""
+    spark = marks.sparkSession
+    # At most 2 * ``labelled`` hashes of eight bytes.
+    wanted = spark.sparkContext.broadcast(dict(_labelled(marks, labelled)))
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for repo, text, label, start, tokens in zip(*(batch[c] for c in ("repo", "text", "label", "body_start", "tokens"))):
-                a, v = features(plain(text)[start:].strip(), list(tokens))
-                out.append((repo, label, a.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()))
+            for key, repo, body, tokens in zip(*(batch[c] for c in ("key", "repo", "body", "tokens"))):
+                if key in wanted.value:
+                    a, v = features(body, list(tokens))
+                    out.append((repo, wanted.value[key], a.astype(np.uint16).tobytes(), v.astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["repo", "label", "at", "value"])
 
-    # At most 2 * ``labelled`` rows.
-    sample = files.select("file_path", "repo", "text").join(F.broadcast(pick), "file_path").mapInPandas(vectorise, "repo string, label boolean, at binary, value binary").collect()
+    sample = marks.select(F.xxhash64("file_path").alias("key"), "repo", "body", "tokens").mapInPandas(vectorise, "repo string, label boolean, at binary, value binary").collect()
     sample.sort(key=lambda r: (r["repo"] or "", r["label"], bytes(r["at"])))
     labels = np.array([r["label"] for r in sample], bool)
-    report = {"labelled": len(sample), "foreign": int(labels.sum())}
+    report = {"labelled": len(sample), "foreign": int(labels.sum()), "held_out": 0, "accuracy": None, "false_alarms": 0, "missed": 0}
     if not len(sample) or labels.all() or not labels.any():
-        return spark.createDataFrame([], VERDICTS), report
-    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in sample]
+        return None, report
+    rows = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["value"], np.float32)) for r in sample]
     held = np.array([int(hashlib.blake2b((r["repo"] or "").encode(), digest_size=2).hexdigest(), 16) % 4 == 0 for r in sample])
     if held.any() and not held.all() and labels[~held].any() and not labels[~held].all():
-        trial = fit([x for x, h in zip(rows, held) if not h], labels[~held], steps=60)
+        trial = fit([x for x, h in zip(rows, held) if not h], labels[~held])
         said = np.array([score(trial, a, v) > 0 for (a, v), h in zip(rows, held) if h])
         report |= {"held_out": int(held.sum()), "accuracy": float((said == labels[held]).mean()), "false_alarms": int((said & ~labels[held]).sum()), "missed": int((~said & labels[held]).sum())}
-    weights = spark.sparkContext.broadcast(fit(rows, labels))
+    return fit(rows, labels), report
+
+
+def read(files: DataFrame) -> DataFrame:
+    """``signals`` of the files with a path, written once: all later passes read this table."""
+    return Cuts(files.sparkSession, "handwritten").cut(signals(files.select("file_path", "repo", "text", "ignore_extra").filter("file_path is not null")))
+
+
+def judge(files: DataFrame, labelled: int = LABELLED_FILES) -> tuple[DataFrame, dict]:
+    """``file_path, repo, score, foreign, reason`` of every file, and what validation found.
+
+    ``files``: current versions ``file_path, repo, text`` and ``ignore_extra array<string>`` (may be null). A null text
+    counts as empty; empty and nearly empty files are hand-written unless path and list say otherwise. Paths must be
+    unique. With no labelled file of one class nothing is found. A file is found if its margin is above 0 and no exact
+    sign of own hands takes it back; ``reason`` names the sign that goes with the verdict.
+
+    Scale: the texts are shuffled once (to find current versions) by the caller, written once with their signals, and
+    read twice: for the sample and for the margins. Copies are found by a hash of the body, pre-aggregated. Of each class
+    at most ``labelled`` files and ``LABELLED_BYTES`` of sparse features reach the driver; the weights, a fixed number,
+    are broadcast.
+    """
+    spark = files.sparkSession
+    marks = read(files)
+    fitted, report = train(marks, labelled)
+    if fitted is None:
+        return spark.createDataFrame([], VERDICTS), report
+    weights = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, repo, text, was, kind, own_shape, ignored, start, tokens in zip(*(batch[c] for c in ("file_path", "repo", "text", "copied", "kind", "shape", "ignored", "body_start", "tokens"))):
-                s = score(weights.value, *features(plain(text)[start:].strip(), list(tokens)))
-                # The exact check: an opening that names its maker decides, a text that other repositories hold too, and
-                # a path that the repository takes back from its ignore list.
-                if kind in ("generated", "foreign"):
-                    verdict = True
-                elif kind == "own" or ignored == "ignored:taken back":
-                    verdict = False
-                else:
-                    verdict = bool(was) or s > 0
-                why = kind or (("copied" if was else own_shape or "classifier") if verdict else "")
-                out.append((path, repo, float(s), verdict, why))
+            for path, repo, body, kind, own_shape, ignored, tokens in zip(*(batch[c] for c in ("file_path", "repo", "body", "kind", "shape", "ignored", "tokens"))):
+                s = score(weights.value, *features(body, list(tokens)))
+                own = kind == "own" or ignored == "ignored:taken back" and kind == ""
+                verdict = s > 0 and not own
+                out.append((path, repo, float(s), verdict, (kind or own_shape or "classifier") if verdict else kind if own else ""))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
 
-    # A path has one current version, so its marks are joined by path; texts are shuffled at most once more for this.
-    flagged = files.select("file_path", "text").join(marks.select("file_path", "repo", "copied", "kind", "shape", "ignored", "body_start", "tokens"), "file_path")
-    return flagged.mapInPandas(run, VERDICTS), report
+    return marks.select("file_path", "repo", "body", "kind", "shape", "ignored", "tokens").mapInPandas(run, VERDICTS), report
 
 
 def score(weights: np.ndarray, at: np.ndarray, value: np.ndarray) -> float:

@@ -43,9 +43,9 @@ def documented(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        syntax.quiet()
         for batch in batches:
-            rows = [r for path, text in zip(batch["file_path"], batch["text"]) for r in pairs_of(path, text)]
+            with syntax.quiet():
+                rows = [r for path, text in zip(batch["file_path"], batch["text"]) for r in pairs_of(path, text)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
     return files.select("file_path", "text").filter("file_path is not null and text is not null").mapInPandas(run, PAIRS)

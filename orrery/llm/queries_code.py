@@ -24,7 +24,7 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
     files = current_files(spark, folder, "repo", "text")
     # Warnings stand on the row of the file itself; those of every visit count.
     walks = table(spark, folder, "walk_contexts").select(norm_path("symbol_id").alias("fp"), F.explode("warnings").alias("w"))
-    hints = walks.filter(~F.col("fp").contains("::")).groupBy("fp").agg(F.array_sort(F.collect_set(F.substring("w", 1, 200))).alias("warnings"))
+    hints = walks.filter(~F.col("fp").contains("::")).groupBy("fp").agg(F.max(F.col("w").rlike(syntax.WARN_HINT)).alias("hinted"))
     return syntax.judge_files(files.join(hints, F.col("file_path") == F.col("fp"), "left"))
 
 
@@ -38,11 +38,20 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(_judged(spark, folder))
 
 
+def _files_with_lists(spark: SparkSession, folder: str) -> DataFrame:
+    options = table(spark, folder, "watcher_options").select("repo", "ignore_extra").dropDuplicates(["repo"])
+    return current_files(spark, folder, "repo", "text").join(options, "repo", "left")
+
+
 def p7_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Score and verdict of every current file."""
-    options = table(spark, folder, "watcher_options").select("repo", "ignore_extra").dropDuplicates(["repo"])
-    verdicts, _ = handwritten.judge(current_files(spark, folder, "repo", "text").join(options, "repo", "left"))
-    return verdicts
+    return handwritten.judge(_files_with_lists(spark, folder))[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What validation on repositories held out found: files labelled, held out, share right, false alarms, missed."""
+    _, report = handwritten.train(handwritten.read(_files_with_lists(spark, folder)))
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} {'double' if k == 'accuracy' else 'bigint'}" for k in report))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,5 +59,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_verdicts(spark, folder).filter("foreign").select("file_path")
 
 
-QUERIES = {"p7_found": p7_found, "p7_verdicts": p7_verdicts, "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_rates": p2_rates}
+QUERIES = {"p7_found": p7_found, "p7_verdicts": p7_verdicts, "p7_report": p7_report, "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_rates": p2_rates}
 ORACLES: dict[str, str] = {}

@@ -649,31 +649,32 @@ FAULTS = "file_path string, repo string, language string, valid boolean, fault_l
 def judge_files(files: DataFrame) -> DataFrame:
     """One row per file: ``file_path, repo, language, valid, fault_line, fault, hinted``.
 
-    ``files``: current versions ``file_path, repo, text`` and ``warnings array<string>`` (may be null). The language is
+    ``files``: current versions ``file_path, repo, text`` and either ``warnings array<string>`` (may be null) or ``hinted``,
+    whether one of them hints at a fault. The language is
     that of the extension; files of other extensions are taken as valid with a null language, as are null texts. The
     warnings are only reported beside the finding, as they are neither complete nor sure. Each file is read whole in one
     task; nothing is shuffled here.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quiet()
         for batch in batches:
             out = []
-            for path, repo, text, hinted in zip(batch["file_path"], batch["repo"], batch["text"], batch["hinted"]):
-                language = lexing.language_of(path)
-                found, line = None, None
-                if language and text:
-                    text = lexing.without_mark(text)
-                    source = lexing.scan(text, language, path.endswith("x"))
-                    found = fault_of(text, language, path.endswith("x"), source)
-                    line = source.line(found[0]) if found else None
-                out.append((path, repo, language, found is None, line, found[1] if found else None, hinted))
+            with quiet():
+                for path, repo, text, hinted in zip(batch["file_path"], batch["repo"], batch["text"], batch["hinted"]):
+                    language = lexing.language_of(path)
+                    found, line = None, None
+                    if language and text:
+                        text = lexing.without_mark(text)
+                        source = lexing.scan(text, language, path.endswith("x"))
+                        found = fault_of(text, language, path.endswith("x"), source)
+                        line = source.line(found[0]) if found else None
+                    out.append((path, repo, language, found is None, line, found[1] if found else None, hinted))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in FAULTS.split(", ")])
             frame["fault_line"] = frame["fault_line"].astype("Int32")
             yield frame
 
-    hint = F.coalesce(F.exists("warnings", lambda w: w.rlike(WARN_HINT)), F.lit(False))
-    rows = files.select("file_path", "repo", "text", hint.alias("hinted")).filter("file_path is not null")
+    hint = F.col("hinted") if "hinted" in files.columns else F.exists("warnings", lambda w: w.rlike(WARN_HINT))
+    rows = files.select("file_path", "repo", "text", F.coalesce(hint, F.lit(False)).alias("hinted")).filter("file_path is not null")
     return rows.mapInPandas(run, FAULTS)
 
 
