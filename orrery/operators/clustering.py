@@ -9,9 +9,10 @@ from orrery.functions.text import path_affinity, short_name
 
 #: Weights of cosine, time and path, and the weight below which an edge is dropped.
 COSINE, TEMPORAL, AFFINITY, PRUNE = 0.4, 0.05, 0.4, 0.3
-#: Content shorter than this is short; words that name nothing.
+#: Content shorter than this is short.
 SHORT = 100
-STOP_WORDS = ("the", "and", "for", "get", "set", "new", "from", "with", "this", "that")
+# Words that name nothing.
+STOP_WORDS = ("get", "set", "do", "make", "run", "is", "has", "to")
 
 
 def temporal_proximity(a: str, b: str) -> Column:

@@ -9,7 +9,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.shared import Shared
 
 STATUS = "id string, slug string, status string, error string"
 _SLUG = re.compile(r"^[a-z0-9]+(?:-[a-z0-9]+)*$")
@@ -49,6 +52,33 @@ def write_card(root: str, ident: str, slug: str, maturity: str, body: str) -> st
     return "written"
 
 
+# Folders of cards by maturity, those looked at first before the others.
+MATURITIES = ("observed", "emerging", "deterministic_seed")
+
+
+def card_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """``slug, body`` of the cards below a folder, each read whole; of a slug in several folders the first maturity counts.
+
+    Slugs that are no safe name and texts without a head are left out; a folder that is not there gives nothing.
+    """
+    if not Shared(spark).exists(root):
+        return spark.createDataFrame([], "slug string, body string")
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="SKILL.md").select("value", F.col("_metadata.file_path").alias("at"))
+    parts = F.split("at", "/")
+    rows = files.select(F.element_at(parts, -2).alias("slug"), F.element_at(parts, -3).alias("maturity"), F.regexp_extract("value", r"(?s)\A---\n.*?\n?---\n(.*)\z", 1).alias("body"))
+    rows = rows.filter(F.col("slug").rlike(_SLUG.pattern) & F.col("maturity").isin(*MATURITIES) & (F.col("body") != ""))
+    place = F.array_position(F.array(*[F.lit(m) for m in MATURITIES]), F.col("maturity"))
+    return rows.groupBy("slug").agg(F.min_by("body", place).alias("body"))
+
+
+def top_unique_paths(members: DataFrame, most: int = 10) -> DataFrame:
+    """``cluster_id, path, place``: the first ``most`` different paths of the members ``cluster_id, path, rank`` in the order of
+    their first appearance, for a card. Null paths are left out."""
+    first = members.filter("path is not null").groupBy("cluster_id", "path").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("rank", "path"))
+    return first.withColumn("place", place).filter(F.col("place") <= most).select("cluster_id", "path", "place")
+
+
 def emit_cards(cards: DataFrame, root: str) -> DataFrame:
     """Writes ``cards (id, slug, maturity, body)`` below a shared folder from the tasks that hold them: one status row each.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,26 +87,43 @@ def mixed_similarity(rows: DataFrame, query: list[float], text: str, vector: str
     return rows.withColumn("score", F.coalesce(near, lexical_score)).drop("__q")
 
 
+def hash_embeddings(texts: list[str], dim: int) -> np.ndarray:
+    """Deterministic unit vectors, one row a text: the hash of a text seeds a generator of numbers.
+
+    Fixed values: the hash multiplies by 31 and adds each UTF-16 unit, in 32 bits; the generator shifts by 13, 17 and 5;
+    a number is its state modulo 10,000 as a share, less a half. All texts go through the generator together.
+    """
+    state = np.zeros(len(texts), np.uint32)
+    for i, text in enumerate(texts):
+        units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint32)
+        if len(units):
+            powers = np.multiply.accumulate(np.r_[np.uint32(1), np.full(len(units) - 1, 31, np.uint32)], dtype=np.uint32)[::-1]
+            state[i] = np.add.reduce(units * powers, dtype=np.uint32)
+    out = np.zeros((len(texts), dim))
+    for k in range(dim):
+        state ^= state << np.uint32(13)
+        state ^= state >> np.uint32(17)
+        state ^= state << np.uint32(5)
+        out[:, k] = (state % np.uint32(10_000)) / 10_000 - 0.5
+    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return out / np.where(norm == 0, 1, norm)
+
+
 def hash_embedding(text: str, dim: int) -> list[float]:
-    """A deterministic unit vector of a text: its hash seeds a xorshift generator of values in [-0.5, 0.5)."""
-    h = 0
-    for c in text:
-        h = (h * 31 + ord(c)) & 0xFFFFFFFF
-    state, out = h or 1, []
-    for _ in range(dim):
-        state ^= (state << 13) & 0xFFFFFFFF
-        state ^= state >> 17
-        state ^= (state << 5) & 0xFFFFFFFF
-        out.append(state / 4294967296 - 0.5)
-    norm = sum(x * x for x in out) ** 0.5 or 1.0
-    return [x / norm for x in out]
-
-
-def embed_column(df: DataFrame, text: str, dim: int, out: str = "embedding", embed=hash_embedding) -> DataFrame:
-    """Adds a vector for every text by an Arrow-batched function; null texts have null vectors. ``embed`` may be any function of text and dimension."""
+    """The vector of one text."""
+    return hash_embeddings([text], dim)[0].tolist()
+
+
+def embed_column(df: DataFrame, text: str, dim: int, out: str = "embedding", embed=hash_embeddings) -> DataFrame:
+    """Adds a vector for every text by an Arrow-batched function; null texts have null vectors.
+
+    ``embed`` may be any function of a list of texts and a dimension that gives one row for each; it gets a whole batch.
+    """
 
     @F.pandas_udf("array<float>")
-    def run(batches: pd.Series) -> pd.Series:
-        return batches.map(lambda t: None if t is None else embed(t, dim))
+    def run(batch: pd.Series) -> pd.Series:
+        known = batch.notna().to_numpy()
+        rows = iter(np.asarray(embed(batch[known].tolist(), dim), np.float32)) if known.any() else iter(())
+        return pd.Series([next(rows) if k else None for k in known], index=batch.index, dtype=object)
 
     return df.withColumn(out, run(F.col(text)))

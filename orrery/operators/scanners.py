@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from orrery.functions.text import hyphenated
 from orrery.lineage import Cuts
 
-#: Roots of error families, in order of precedence.
-ERROR_ROOTS = ("Error", "Exception", "BaseException", "RuntimeError", "TypeError", "ValueError", "KeyError", "BaseFault", "RangeError", "LookupError")
-#: Paths of tests.
+# Class names that error families begin with, in order of precedence.
+ERROR_ROOTS = ("Error", "TypeError", "RangeError", "SyntaxError", "ReferenceError", "Exception", "BaseException", "RuntimeError", "ValueError", "error")
+#: Paths of tests, as the queries count them: the patterns of ``conventions`` and folders of other ecosystems.
 TEST_PATHS = r"(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[a-z]+$|_test\.(?:go|py)$|(?:^|/)test_[^/]+\.py$|Test\.[a-z]+$"
 #: Least places of evidence.
 LEAST = 2

@@ -68,3 +68,18 @@ def changed_cards(new: DataFrame, old: DataFrame) -> DataFrame:
     """New cards that must be written: unknown ids, another body hash, or an old card that lacks its vector."""
     known = old.select("id", F.col("body_sha256").alias("__h"), F.col("has_vector").alias("__v"))
     return new.join(known, "id", "left").filter(F.col("__h").isNull() | (F.col("__h") != F.col("body_sha256")) | ~F.col("__v")).drop("__h", "__v")
+
+
+def write_skills(old: DataFrame, new: DataFrame, embed=None, dim: int = 64) -> DataFrame:
+    """The table of cards after a run: changed ones with fresh vectors of name and description, the others as they were.
+
+    ``old`` has ``body_sha256`` and ``embedding``; ``new`` the same columns but these two. A card whose body has the hash of
+    the stored one is not embedded again, unless that has no vector. Texts are embedded in Arrow batches.
+    """
+    from orrery.operators import retrieval as R
+
+    hashed = new.withColumn("body_sha256", F.sha2(F.coalesce("body", F.lit("")), 256))
+    fresh = changed_cards(hashed, old.withColumn("has_vector", F.col("embedding").isNotNull()))
+    text = F.concat_ws("\n", "name", "description")
+    fresh = R.embed_column(fresh.withColumn("__text", text), "__text", dim, embed=embed or R.hash_embeddings).drop("__text")
+    return old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(*old.columns))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.queries import cards, changes, graphs, hierarchy, parsing, retrieval
+from orrery.queries import cards, changes, conventions, graphs, hierarchy, parsing, retrieval
 
-_MODULES = (hierarchy, retrieval, graphs, cards, changes, parsing)
+_MODULES = (hierarchy, retrieval, graphs, cards, changes, parsing, conventions)
 
 
 def queries() -> dict:

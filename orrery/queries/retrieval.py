@@ -35,7 +35,9 @@ def query_vector(spark: SparkSession, folder: str) -> list[float]:
 
 
 def lexical_search(spark, folder):
-    return R.top(R.lexical(symbols(spark, folder), WORDS), 80).select("id", "path", F.round("pagerank", 9).alias("pagerank"))
+    # Nine places in binary arithmetic; NaN stays.
+    places = F.when(F.isnan("pagerank"), F.col("pagerank")).otherwise(F.floor(F.col("pagerank") * 1e9 + 0.5) / 1e9)
+    return R.top(R.lexical(symbols(spark, folder), WORDS), 80).select("id", "path", places.alias("pagerank"))
 
 
 def lexical_lang_filter(spark, folder):

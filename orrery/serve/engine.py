@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.since import parse_since
 from orrery.functions.text import dot, matches_any_glob
+from orrery.operators import emit
 from orrery.operators import reach as G
 from orrery.operators import retrieval as R
 from orrery.operators import store as T
@@ -21,11 +22,18 @@ MEMBERS = {"coarse": 10, "medium": 30, "fine": 50}
 
 
 class Engine:
-    """Tools over the tables of one folder."""
+    """Tools over the tables of one folder.
 
-    def __init__(self, spark: SparkSession, folder: str, embed=R.hash_embedding, dim: int = 64, marker: dict | None = None, age_seconds: float = 0.0):
+    ``vectors``: stored vectors ``symbol_id, embedding`` of the symbols; without them the ids are embedded on every query.
+    ``skills``: cards ``id, slug, name, description, body, maturity, embedding``; without them clusters stand for cards.
+    ``cards``: the folder cards were written to; a body there goes before the stored one. ``log``: where feedback is kept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, embed=R.hash_embedding, dim: int = 64, marker: dict | None = None, age_seconds: float = 0.0, vectors: DataFrame | None = None, skills: DataFrame | None = None, cards: str | None = None, log: str | None = None):
         self.spark, self.folder, self.embed, self.dim = spark, folder, embed, dim
         self.marker, self.age = marker, age_seconds
+        self.vectors, self.skills, self.cards = vectors, skills, cards
+        self.log = T.FeedbackLog(spark, log) if log else None
         self.calls = guards.InFlight()
         self.symbols = current_symbols(spark, folder, "path", "language", "kind", "range_start_line", "range_end_line", "signature", "docstring", "pagerank", "cluster_id", "updated_at_commit")
         self.edges = table(spark, folder, "edges")
@@ -39,7 +47,10 @@ class Engine:
         if since:
             pool = self._since(pool, since)
         lex = R.ranked(R.top(R.lexical(pool, question), 4 * top_k), F.col("pagerank").desc_nulls_last(), "id").select("id", "rank")
-        vectors = R.embed_column(pool.select("id"), "id", self.dim, embed=self.embed)
+        if self.vectors is not None:
+            vectors = self.vectors.select(F.col("symbol_id").alias("id"), "embedding").join(pool.select("id"), "id", "left_semi")
+        else:
+            vectors = R.embed_column(pool.select("id"), "id", self.dim, embed=lambda texts, dim: [self.embed(t, dim) for t in texts])
         vec = R.ranked(R.nearest_l2(vectors, self.embed(question, self.dim), 4 * top_k, ident="id"), "distance", "id").select("id", "rank")
         fused = R.fuse({"lexical": lex, "vector": vec}, "id").orderBy(F.col("score").desc(), "id").limit(top_k)
         return self.symbols.join(F.broadcast(fused), "id").select("id", "score", "reasons", "path", F.coalesce("signature", F.concat_ws(" ", "kind", "id")).alias("summary")).orderBy(F.col("score").desc(), "id")
@@ -101,30 +112,57 @@ class Engine:
         return top.groupBy("cluster_id", "name", "score").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
     def skills_for(self, task: str, top_k: int = 5) -> DataFrame:
-        """Clusters as cards, by meaning where they have a vector, else by words."""
-        rows = self.clusters.withColumnRenamed("description_embedding", "embedding")
-        out = R.mixed_similarity(rows, self.embed(task, self.dim), task)
-        return out.filter("not isnan(score)").orderBy(F.col("score").desc(), "id").limit(max(1, min(SKILLS_MOST, top_k))).select("id", "name", "score")
+        """Cards by meaning where they have a vector, else by words: ``id, name, score`` and, of stored cards, ``body``."""
+        top_k, target = max(1, min(SKILLS_MOST, top_k)), self.embed(task, self.dim)
+        if self.skills is None:
+            rows = self.clusters.withColumnRenamed("description_embedding", "embedding")
+            out = R.mixed_similarity(rows, target, task)
+            return out.filter("not isnan(score)").orderBy(F.col("score").desc(), "id").limit(top_k).select("id", "name", "score")
+        out = R.mixed_similarity(self.skills, target, task).filter("not isnan(score)").orderBy(F.col("score").desc(), "id").limit(top_k)
+        out = out.select("id", "slug", "name", "score", "body")
+        if self.cards:
+            on_disk = emit.card_bodies(self.spark, self.cards).withColumnRenamed("body", "disk_body")
+            out = out.join(on_disk, "slug", "left").withColumn("body", F.coalesce("disk_body", "body")).drop("disk_body")
+        return out.select("id", "name", "score", "body").orderBy(F.col("score").desc(), "id")
 
     def recent_changes(self, since: str = "2 weeks ago", top_k: int = 20, paths: list[str] | None = None, now: datetime | None = None) -> DataFrame:
-        """Commits with their files, newest first: ``hash, ts, files``; commits without a file of the paths are left out."""
+        """Commits with their files, newest first: ``hash, ts, files``; commits without a file of the paths are left out.
+
+        Where no commit is known, the commits that symbols name stand in, newest epoch first, without a time.
+        """
         when = parse_since(since, now)
-        commits = self._commits().filter(matches_any_glob("file_path", paths or []))
+        known = self._commits()
+        if known.isEmpty():
+            rows = self.symbols.filter("updated_at_commit is not null").filter(matches_any_glob("path", paths or []))
+            per = rows.groupBy(F.substring("updated_at_commit", 1, 7).alias("hash")).agg(F.max("updated_at_epoch").alias("epoch"), F.array_sort(F.collect_set("path")).alias("files"))
+            return per.orderBy(F.col("epoch").desc(), "hash").limit(max(1, min(CHANGES_MOST, top_k))).select("hash", F.lit(None).cast("timestamp").alias("ts"), "files")
+        commits = known.filter(matches_any_glob("file_path", paths or []))
         if when.cutoff is not None:
             commits = commits.filter(F.col("ts") >= F.lit(datetime.fromtimestamp(when.cutoff / 1000, timezone.utc).replace(tzinfo=None)))
         per = commits.groupBy(F.substring("hash", 1, 7).alias("hash")).agg(F.max("ts").alias("ts"), F.array_sort(F.collect_set("file_path")).alias("files"))
         return per.orderBy(F.col("ts").desc(), "hash").limit(max(1, min(CHANGES_MOST, top_k)))
 
-    def feedback(self, log: DataFrame, tool: str, request_id: str, signal: str, note: str | None = None) -> DataFrame:
-        """The log with one more row; identifiers and signals are checked, notes cut at 2048 bytes."""
+    @staticmethod
+    def _feedback_row(tool: str, request_id: str, signal: str, note: str | None) -> tuple:
         if not envelope.is_uuid7(request_id):
             raise guards.Refused("request_id is no identifier of version 7")
         if signal not in ("used", "ignored", "wrong", "helpful"):
             raise guards.Refused(f"unknown signal {signal!r}")
-        row = [(datetime.now(timezone.utc).replace(tzinfo=None), tool, request_id, signal, T.truncate_note(note))]
+        return datetime.now(timezone.utc).replace(tzinfo=None), tool, request_id, signal, T.truncate_note(note)
+
+    def feedback(self, log: DataFrame, tool: str, request_id: str, signal: str, note: str | None = None) -> DataFrame:
+        """The log with one more row; identifiers and signals are checked, notes cut at 2048 bytes."""
+        row = [self._feedback_row(tool, request_id, signal, note)]
         new = self.spark.createDataFrame(row, "recorded_at timestamp_ntz, tool string, request_id string, signal string, note string")
         return T.append_feedback(log, new, "recorded_at")
 
+    def record_feedback(self, tool: str, request_id: str, signal: str, note: str | None = None) -> DataFrame:
+        """Writes one row to the log of this engine, one call at a time, and returns its id."""
+        if self.log is None:
+            raise guards.Refused("no feedback is kept here")
+        ids = self.log.append([self._feedback_row(tool, request_id, signal, note)])
+        return self.spark.createDataFrame([(i,) for i in ids], "id bigint")
+
     def sql(self, statement: str) -> tuple[DataFrame, bool]:
         """A guarded statement over the views ``symbols``, ``edges`` and ``clusters``."""
         for name in ("symbols", "edges", "clusters"):
@@ -133,7 +171,8 @@ class Engine:
 
     def tools(self) -> dict:
         """The tools by name, in order."""
-        return {n: getattr(self, n) for n in ("cluster", "context", "impact", "query", "recent_changes", "skills_for", "sql")}
+        found = {n: getattr(self, n) for n in ("cluster", "context", "impact", "query", "recent_changes", "skills_for", "sql")}
+        return dict(sorted((found | {"feedback": self.record_feedback}).items()))
 
     def call(self, name: str, /, **arguments) -> envelope.Envelope:
         """Runs a tool and wraps what it returns; refused and unknown calls become error envelopes."""

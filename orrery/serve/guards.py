@@ -57,9 +57,9 @@ def run_sql(spark: SparkSession, statement: str, rows: int = ROWS, scans: int =
         raise Refused(f"plan reads more than {scans} tables")
     if has_cartesian(df):
         raise Refused("plan multiplies tables without a key")
-    capped = df.limit(rows + 1)
-    truncated = capped.count() > rows
-    return df.limit(rows), truncated
+    # Run once: one row more than is shown tells whether there were more.
+    found = df.limit(rows + 1).collect()
+    return spark.createDataFrame(found[:rows], df.schema), len(found) > rows
 
 
 def fit_bytes(rows: list[dict], limit: int = RESPONSE_BYTES) -> tuple[list[dict], bool]:

@@ -6,15 +6,26 @@ wins; the reason is the kind all paths share, or ``mixed``. Batches above a size
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.lineage import shared_folder
-
 #: Silence that ends a batch, and paths of a batch.
 GAP, MOST_PATHS = "600 milliseconds", 500
 
 
+@dataclass
+class StreamStats:
+    """Micro-batches waiting, being written and written, and whether writing is held back."""
+
+    queued: int = 0
+    inflight: int = 0
+    written: int = 0
+    paused: bool = False
+
+
 def sessions(events: DataFrame, gap_seconds: float = 0.6, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
     """Last kind of every path in every batch: ``repo, batch_start, batch_end, path, kind, ts``.
 
@@ -54,28 +65,45 @@ def split_floods(batch_paths: DataFrame, keys: list[str], most: int = MOST_PATHS
     return batch_paths.withColumn("slice", F.floor((F.row_number().over(order) - 1) / most).cast("int"))
 
 
-def stream_batches(events: DataFrame, sink: str, gap: str = GAP, watermark: str = "10 seconds", keys: tuple[str, ...] = ("repo",), paused=None):
-    """A streaming query that appends finished batches ``repo, batch_start, batch_end, n_events, last`` to Parquet at ``sink``.
+def stream_batches(events: DataFrame, sink: str, gap: str = GAP, watermark: str = "10 seconds", keys: tuple[str, ...] = ("repo",), paused=None, stats: StreamStats | None = None):
+    """A streaming query that writes finished batches ``repo, batch_start, batch_end, n_events, last`` to Parquet at ``sink``.
 
     ``events``: a streaming DataFrame ``repo, path, kind, ts``. A batch is finished when the watermark has passed its end;
-    its paths are the keys of ``last`` (path to kind, the last wins). ``paused``, a function, defers a micro-batch's
-    results while it returns True. Runs over what is there and ends (``availableNow``); a checkpoint beside the sink makes
-    it go on where it stopped.
+    its paths are the keys of ``last`` (path to kind, the last wins, of equal times the greater kind). ``paused``, a
+    function, defers a micro-batch's results while it returns True; ``stats`` keeps count. Runs over what is there and ends
+    (``availableNow``).
+
+    The checkpoint lies in the sink's folder ``_checkpoint``, so a later start goes on where this one stopped, in any
+    process; a micro-batch is written to a folder named by its number, over what an unfinished try of it left, so nothing
+    is written twice. Events of one path are reduced to one map entry as they arrive.
     """
+    where, stats = sink.rstrip("/"), stats or StreamStats()
     own = events.withWatermark("ts", watermark).groupBy(*keys, F.session_window("ts", gap).alias("w"))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "path", "kind")))
-    pairs = F.transform(ordered, lambda x: F.struct(x["path"].alias("key"), x["kind"].alias("value")))
-    # Of equal keys the last value wins: earlier entries of a path that comes again are dropped before the map is made.
-    lasts = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
-    out = own.agg(F.count("*").alias("n_events"), F.map_from_entries(lasts).alias("last"))
+    # One entry a path: entries are ordered by path and time, and of each path the last one stays.
+    ordered = F.array_sort(F.collect_set(F.struct("path", "ts", "kind")))
+    lasts = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["path"] != x["path"]))
+    pairs = F.transform(lasts, lambda x: F.struct(x["path"].alias("key"), x["kind"].alias("value")))
+    out = own.agg(F.count("*").alias("n_events"), F.map_from_entries(pairs).alias("last"))
     out = out.select(*keys, F.col("w.start").alias("batch_start"), F.col("w.end").alias("batch_end"), "n_events", "last")
 
-    def write(df: DataFrame, _: int) -> None:
-        import time
-
+    def write(df: DataFrame, number: int) -> None:
+        stats.queued += 1
         while paused is not None and paused():
+            stats.paused = True
             time.sleep(0.25)
-        df.write.mode("append").parquet(sink)
-
-    place = f"{shared_folder(events.sparkSession)}/stream-{abs(hash(sink))}"
-    return out.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start()
+        stats.paused = False
+        stats.queued, stats.inflight = stats.queued - 1, stats.inflight + 1
+        try:
+            df.write.mode("overwrite").parquet(f"{where}/micro_batch={number}")
+        finally:
+            stats.inflight -= 1
+            stats.written += 1
+
+    return out.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{where}/_checkpoint").trigger(availableNow=True).start()
+
+
+def drain(query, seconds: float | None = None) -> None:
+    """Ends a query after all that has arrived is written."""
+    query.processAllAvailable()
+    query.stop()
+    query.awaitTermination(seconds)
