@@ -3,21 +3,109 @@
 Each round removes leaves (rake) and an independent set of unary-chain nodes (compress), recording for every removed
 node the link it had when it went. What is left at the end are roots and one self-linked node per cycle; the
 recorded links, replayed backwards, give every node its root, depth and path. The number of rounds is logarithmic in
-the number of nodes whatever the depth, and the live table shrinks geometrically.
+the number of nodes whatever the depth, and the live table shrinks geometrically; when it is small, one task makes the
+remaining rounds of the same contraction in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orrery.lineage import Cuts
 
 #: Root id of nodes that are on a cycle or below one.
 CYCLE = "(cycle)"
-
-
-def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "parent_id", with_path: bool = False, max_rounds: int = 200) -> DataFrame:
+#: Live nodes, and characters of their ids, up to which one task finishes the contraction.
+FEW, FEW_CHARACTERS = 200_000, 40_000_000
+#: Ids in paths that the last task gives out at once.
+PATH_IDS = 500_000
+
+
+def contract(parent: np.ndarray, weight: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Root (as an index, -1 on or below a cycle) and depth of nodes whose parent is an index, or -1 for a root; ``weight``
+    is the length of the link. Rake and compress with coins, replayed backwards; all nodes of a round at once."""
+    n = len(parent)
+    up, length, live = parent.copy(), weight.astype(np.int64), np.arange(n)
+    records: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rng = np.random.default_rng(seed)
+    while True:
+        linked = live[(up[live] >= 0) & (up[live] != live)]
+        if not len(linked):
+            break
+        children = np.bincount(up[linked], minlength=n)
+        looped = live[up[live] == live]
+        children[looped] += 1
+        rake = linked[children[linked] == 0]
+        heads = rng.random(n) < 0.5
+        coin = np.zeros(n, bool)
+        coin[linked[(children[linked] == 1) & heads[linked]]] = True
+        raked = np.zeros(n, bool)
+        raked[rake] = True
+        # Who hangs on a coin and stays itself takes over its link.
+        taker = linked[coin[up[linked]] & ~coin[linked] & ~raked[linked]]
+        out = up[taker]
+        gone = np.concatenate([rake, out])
+        if len(gone):
+            records.append((gone, up[gone].copy(), length[gone].copy()))
+        new_up, new_length = up[out].copy(), length[taker] + length[out]
+        up[taker], length[taker] = new_up, new_length
+        stay = np.ones(n, bool)
+        stay[gone] = False
+        live = live[stay[live]]
+    root, depth = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    ends = live[up[live] < 0]
+    root[ends], depth[ends] = ends, 0
+    for gone, above, far in reversed(records):
+        good = depth[above] >= 0
+        root[gone], depth[gone] = root[above], np.where(good, depth[above] + far, -1)
+    return root, depth
+
+
+def _finish(with_path: bool):
+    """The rest of a contraction in one task: ``n, p, w, via`` of all live nodes to ``n, root, depth, path``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True)
+        names = rows["n"].to_numpy()
+        place = pd.Index(names)
+        known = rows["p"].notna().to_numpy()
+        parent = np.full(len(names), -1, np.int64)
+        parent[known] = place.get_indexer(rows["p"].to_numpy()[known])
+        root, depth = contract(parent, rows["w"].to_numpy())
+        via = rows["via"].to_numpy() if with_path else None
+        at, size = 0, len(names)
+        while at < size:
+            end, paths, used = at, [], 0
+            while end < size and used < PATH_IDS:
+                if with_path and depth[end] >= 0:
+                    back, node = [], end
+                    while node >= 0:
+                        back.append(names[node])
+                        back.extend(reversed(list(via[node])))
+                        node = parent[node]
+                    paths.append(back[::-1])
+                    used += len(back)
+                else:
+                    paths.append(None)
+                    used += 1
+                end += 1
+            some = slice(at, end)
+            roots = np.where(depth[some] < 0, CYCLE, names[np.maximum(root[some], 0)])
+            yield pd.DataFrame({"n": names[some], "root": roots, "depth": depth[some].astype(np.int32), "path": pd.Series(paths, dtype=object)})
+            at = end
+
+    return run
+
+
+def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "parent_id", with_path: bool = False, max_rounds: int = 200, few: int = FEW) -> DataFrame:
     """Root, depth and (on request) path of every node.
 
     ``links`` has one row per node; a null parent, or a parent that is no node, makes the row a root. Rows with a
@@ -28,7 +116,8 @@ def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "pa
     and, with ``with_path``, ``path``: the ids from the root down to the node, null for cycles.
 
     Plan: the parent side of every join holds each key once, so a parent with very many children only makes the
-    child side skewed, which adaptive execution splits. Child counts are pre-aggregated before the shuffle.
+    child side skewed, which adaptive execution splits. Child counts are pre-aggregated before the shuffle. A round
+    writes two tables and counts what is left while it writes; up to ``few`` live nodes, of bounded size, one task ends it.
     """
     spark = links.sparkSession
     cuts = Cuts(spark, "hierarchy")
@@ -36,67 +125,63 @@ def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "pa
     own = own.groupBy("n").agg(F.min("p").alias("p"))
     known = own.select(F.col("n").alias("known"))
     via = F.array().cast("array<string>")
-    live = cuts.cut(
-        own.join(known, F.col("p") == F.col("known"), "left").select("n", F.col("known").alias("p"), F.lit(1).alias("w"), via.alias("via"))
-    )
-    live_number, records = cuts.last(), []
+
+    def counted(df: DataFrame) -> tuple[DataFrame, dict]:
+        """The table written, and how many of its rows stay, are still linked, and how long their ids are."""
+        seen = Observation()
+        linked = F.col("p").isNotNull() & (F.col("p") != F.col("n"))
+        stays = ~F.col("gone")
+        size = F.length("n") + F.coalesce(F.length("p"), F.lit(0))
+        facts = [F.count_if(stays).alias("live"), F.count_if(stays & linked).alias("open"), F.count_if(F.col("gone")).alias("gone"), F.coalesce(F.sum(F.when(stays, size)), F.lit(0)).alias("characters")]
+        out = cuts.cut(df.observe(seen, *facts))
+        return out, seen.get
+
+    first = own.join(known, F.col("p") == F.col("known"), "left").select("n", F.col("known").alias("p"), F.lit(1).alias("w"), via.alias("via"), F.lit(False).alias("gone"))
+    table, facts = counted(first)
+    records: list[DataFrame] = []
     for turn in range(max_rounds):
+        live = table.filter("not gone").select("n", "p", "w", "via")
+        if not facts["open"] or facts["live"] <= few and facts["characters"] <= FEW_CHARACTERS:
+            break
         children = live.filter(F.col("p").isNotNull()).groupBy(F.col("p").alias("q")).agg(F.count("*").alias("k"))
         heads = F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2)) == 0
-        marked = live.join(children, F.col("n") == F.col("q"), "left").select("n", "p", "w", "via", F.coalesce("k", F.lit(0)).alias("k"))
         linked = F.col("p").isNotNull() & (F.col("p") != F.col("n"))
-        # A chain node is spliced out if its coin shows heads and its only child's shows tails: no two neighbours go at once.
-        rake = linked & (F.col("k") == 0)
-        coin = linked & (F.col("k") == 1) & heads
-        marked = cuts.cut(marked.select("n", "p", "w", "via", rake.alias("rake"), coin.alias("coin")))
+        counts = F.coalesce("k", F.lit(0))
+        # A chain node is spliced out if its coin shows heads and its only child stays: no two neighbours go at once.
+        marked = live.join(children, F.col("n") == F.col("q"), "left").select("n", "p", "w", "via", (linked & (counts == 0)).alias("rake"), (linked & (counts == 1) & heads).alias("coin"))
+        marked = cuts.cut(marked)
         marked_number = cuts.last()
         upper = marked.filter("coin").select(F.col("n").alias("un"), F.col("p").alias("up"), F.col("w").alias("uw"), F.col("via").alias("uvia"))
+        # Of a coin's only child whether it stays; one row a parent.
+        below = marked.filter(F.col("p").isNotNull() & ~F.col("coin") & ~F.col("rake")).select(F.col("p").alias("bp")).distinct()
         splice = F.col("un").isNotNull() & ~F.col("coin") & ~F.col("rake")
         joined_via = F.concat("uvia", F.array("p"), "via") if with_path else F.col("via")
-        kept = (
-            marked.filter("not rake").join(upper, F.col("p") == F.col("un"), "left")
-            .select(
-                "n",
-                F.when(splice, F.col("up")).otherwise(F.col("p")).alias("p"),
-                F.when(splice, F.col("w") + F.col("uw")).otherwise(F.col("w")).alias("w"),
-                F.when(splice, joined_via).otherwise(F.col("via")).alias("via"),
-                F.when(splice, F.col("un")).alias("spliced"),
-            )
-        )
-        kept = cuts.cut(kept)
-        kept_number = cuts.last()
-        spliced = kept.filter(F.col("spliced").isNotNull()).select(F.col("spliced").alias("n"))
-        chain = marked.filter("coin").join(spliced, "n", "left_semi")
-        gone = cuts.cut(marked.filter("rake").select("n", "p", "w", "via").unionByName(chain.select("n", "p", "w", "via")))
-        gone_number = cuts.last()
-        live = cuts.cut(kept.join(spliced, "n", "left_anti").select("n", "p", "w", "via"))
-        cuts.drop(live_number, marked_number, kept_number)
-        live_number = cuts.last()
-        if gone.isEmpty():
-            # Nothing to rake; only coins that fell badly or finished cores are left.
-            cuts.drop(gone_number)
-            open_links = live.filter(F.col("p").isNotNull() & (F.col("p") != F.col("n")))
-            if open_links.isEmpty():
-                break
-            continue
-        records.append((gone, gone_number))
+        state = marked.join(upper, F.col("p") == F.col("un"), "left").join(below, F.col("coin") & (F.col("n") == F.col("bp")), "left").select(
+            "n", F.when(splice, F.col("up")).otherwise(F.col("p")).alias("p"), F.when(splice, F.col("w") + F.col("uw")).otherwise(F.col("w")).alias("w"),
+            F.when(splice, joined_via).otherwise(F.col("via")).alias("via"), (F.col("rake") | F.col("coin") & F.col("bp").isNotNull()).alias("gone"),
+        )
+        table, facts = counted(state)
+        cuts.drop(marked_number)
+        if facts["gone"]:
+            records.append(table.filter("gone").select("n", "p", "w", "via"))
     else:
         raise RuntimeError(f"tree contraction did not end within {max_rounds} rounds")
-    cyclic = F.col("p").isNotNull()
-    solved = live.select(
-        "n", F.when(cyclic, F.lit(CYCLE)).otherwise(F.col("n")).alias("root"), F.when(cyclic, F.lit(-1)).otherwise(F.lit(0)).alias("depth"),
-        F.when(~cyclic, F.array("n")).alias("path"),
-    )
-    parts = [solved]
-    for gone, _ in reversed(records):
+    schema = "n string, root string, depth int, path array<string>"
+    if facts["open"]:
+        solved = cuts.cut(live.repartition(1).mapInPandas(_finish(with_path), schema))
+    else:
+        cyclic = F.col("p").isNotNull()
+        solved = live.select(
+            "n", F.when(cyclic, F.lit(CYCLE)).otherwise(F.col("n")).alias("root"), F.when(cyclic, F.lit(-1)).otherwise(F.lit(0)).cast("int").alias("depth"),
+            F.when(~cyclic & F.lit(with_path), F.concat("via", F.array("n"))).alias("path"),
+        )
+    for gone in reversed(records):
         above = solved.select(F.col("n").alias("pn"), F.col("root"), F.col("depth"), F.col("path"))
         path = F.concat("path", "via", F.array("n")) if with_path else F.lit(None).cast("array<string>")
         fresh = gone.join(above, F.col("p") == F.col("pn")).select(
             "n", "root", F.when(F.col("depth") < 0, F.lit(-1)).otherwise(F.col("depth") + F.col("w")).cast("int").alias("depth"), path.alias("path")
         )
-        fresh = cuts.cut(fresh)
-        parts.append(fresh)
-        solved = fresh.unionByName(solved)
+        solved = cuts.cut(fresh).unionByName(solved)
     columns = [F.col("n").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth")]
     return solved.select(*columns, *([F.col("path")] if with_path else []))
 

@@ -144,3 +144,15 @@ def test_pagerank_converged_returns_every_symbol(spark, tmp_path):
     ranks = {r["id"]: r["rank"] for r in pagerank_converged(spark, str(tmp_path)).collect()}
     assert set(ranks) == {r[0] for r in rows} and max(ranks, key=ranks.get) == "f::s0"
     assert sum(ranks.values()) == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("few", [0, 20])
+@pytest.mark.parametrize("shape", ["random", "chain", "loops"])
+def test_hierarchy_in_rounds(spark, few, shape):
+    """The rounds over tables, to the end or until one task takes over, give what one task gives."""
+    rng = random.Random(9)
+    parents = {f"n{i}": (None if i == 0 else f"n{i - 1}") if shape == "chain" else f"n{rng.randrange(90)}" if shape == "loops" else rng.choice([None, "outside", f"n{rng.randrange(max(1, i))}"]) for i in range(90)}
+    df = spark.createDataFrame(list(parents.items()), "node_id string, parent_id string")
+    got = {r["node_id"]: (r["root_id"], r["depth"], r["path"]) for r in H.resolve_hierarchy(df, with_path=True, few=few).collect()}
+    assert got == brute(parents)
+    assert {(r["node_id"], r["depth"]) for r in H.resolve_hierarchy(df, few=few).collect()} == {(k, d) for k, (_, d, _) in got.items()}
