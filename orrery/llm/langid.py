@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.lineage import Cuts
+
 #: Dimension of the vectors; the longest n-gram.
 DIMENSION, LONGEST = 2048, 4
 #: Weight of n-grams by length; at index 0 that of a letter's block (its code divided by 128).
@@ -35,8 +37,12 @@ LEAD = 0.08
 LABELLED_SENTENCES = 600
 #: About how many documents, by a hash of the text, are searched for labelled sentences.
 LABELLED_DOCUMENTS = 20_000
+#: Pieces of text, and sentences with their cosines, that one task keeps.
+KEPT = 200_000
 #: Factor on cosines where prototypes are corrected.
 SHARPNESS = 15.0
+#: Share of its pull from which a sentence counts as confused.
+CONFUSED = 0.02
 
 _FENCE = re.compile(r"^[ \t]*(?:>[ \t]*)*(`{3,}|~{3,})", re.M)
 _INLINE = re.compile(r"`[^`\n]*`")
@@ -67,24 +73,51 @@ def prose(text: str) -> Iterator[str]:
             yield line
 
 
-def sentences(text: str) -> list[str]:
-    """Whole sentences: they end with a full stop or the like, and have some words besides identifiers."""
-    out = []
+def _pieces(text: str) -> Iterator[str]:
+    """What ends like a sentence or a line, without list marks and identifiers."""
     for line in prose(text):
         line = _MARK.sub("", line)
         if not line.strip():
             continue
-        line = _IDENTIFIER.sub(" ", _INLINE.sub(" ", line))
-        for piece in _END.split(line):
-            if not piece or not _TERMINAL.search(piece):
-                continue
-            # A quoted phrase inside a sentence tells nothing of the sentence's language.
-            bare = _QUOTED.sub(" ", piece)
-            piece = bare if len(_WORD.findall(bare)) >= LEAST_WORDS or len(_WIDE.findall(bare)) >= LEAST_SIGNS else piece
-            wide = len(_WIDE.findall(piece))
-            if wide >= LEAST_SIGNS or (wide == 0 and len(_WORD.findall(piece)) >= LEAST_WORDS):
-                out.append(piece.strip())
-    return out
+        if "`" in line:
+            line = _INLINE.sub(" ", line)
+        yield from filter(None, _END.split(_IDENTIFIER.sub(" ", line)))
+
+
+def _whole(piece: str) -> str:
+    """The piece as a sentence, or nothing if it is no whole one."""
+    if not _TERMINAL.search(piece):
+        return ""
+    # A quoted phrase inside a sentence tells nothing of the sentence's language.
+    bare = _QUOTED.sub(" ", piece)
+    piece = bare if len(_WORD.findall(bare)) >= LEAST_WORDS or len(_WIDE.findall(bare)) >= LEAST_SIGNS else piece
+    wide = len(_WIDE.findall(piece))
+    return piece.strip() if wide >= LEAST_SIGNS or (wide == 0 and len(_WORD.findall(piece)) >= LEAST_WORDS) else ""
+
+
+def sentences(text: str) -> list[str]:
+    """Whole sentences: they end with a full stop or the like, and have some words besides identifiers."""
+    return [s for s in map(_whole, _pieces(text)) if s]
+
+
+class Splitter:
+    """Normal sentences of texts; what became of a piece is kept for when it comes again, up to a number of pieces."""
+
+    def __init__(self, most: int = KEPT):
+        self._known: dict[str, str] = {}
+        self._most = most
+
+    def __call__(self, text: str) -> list[str]:
+        known, out = self._known, []
+        for piece in _pieces(text):
+            found = known.get(piece)
+            if found is None:
+                if len(known) >= self._most:
+                    known.clear()
+                found = known[piece] = normal(_whole(piece))
+            if found:
+                out.append(found)
+        return out
 
 
 def normal(text: str) -> str:
@@ -219,6 +252,29 @@ class Profiles:
         return np.maximum(out[:, 0::2], out[:, 1::2])
 
 
+class Scores:
+    """Cosines of sentences with every language; those of a sentence are kept for when it comes again."""
+
+    def __init__(self, profiles: Profiles, most: int = KEPT):
+        self._profiles, self._most = profiles, most
+        self._place: dict[str, int] = {}
+        self._rows = np.zeros((1024, len(profiles.names)), np.float32)
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """One row a text."""
+        new = list(dict.fromkeys(t for t in texts if t not in self._place))
+        if len(self._place) + len(new) > self._most:
+            self._place.clear()
+            new = list(dict.fromkeys(texts))
+        start = len(self._place)
+        if start + len(new) > len(self._rows):
+            self._rows = np.concatenate([self._rows[:start], np.zeros((max(len(new), start), self._rows.shape[1]), np.float32)])
+        for at in range(0, len(new), 2048):
+            self._rows[start + at : start + at + len(new[at : at + 2048])] = self._profiles.cosines(new[at : at + 2048])
+        self._place.update(zip(new, range(start, start + len(new))))
+        return self._rows[[self._place[t] for t in texts]]
+
+
 def label_codes(reference: list[dict]) -> dict[str, str]:
     """Lower-case label to language: the code, ISO code, English and native name of every language."""
     out: dict[str, str] = {}
@@ -248,29 +304,39 @@ def fit_reference(reference: list[dict], dimension: int = DIMENSION) -> Profiles
     return Profiles(names, np.array(rows).reshape(-1, dimension))
 
 
-def labelled_sentences(profiles: Profiles, documents: DataFrame, codes: dict[str, str], per_language: int, text: str, label: str) -> DataFrame:
-    """``lang, sentence``: at most ``per_language`` different sentences, the most frequent first, of documents that as a
-    whole are nearest to the language their label names."""
+def split_documents(documents: DataFrame, codes: dict[str, str], text: str, label: str) -> DataFrame:
+    """``lang, sentences`` of documents whose label names a language and that have a sentence."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = Splitter()
+        for batch in batches:
+            rows = ((label_language(lab, codes), body) for lab, body in zip(batch["label"], batch["text"]))
+            found = ((lang, list(dict.fromkeys(split(body)))) for lang, body in rows if lang is not None)
+            yield pd.DataFrame([r for r in found if r[1]], columns=["lang", "sentences"])
+
+    known = documents.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).filter("label is not null and text is not null")
+    return known.mapInPandas(run, "lang string, sentences array<string>")
+
+
+def labelled_sentences(profiles: Profiles, split: DataFrame, per_language: int) -> DataFrame:
+    """``lang, sentence``: at most ``per_language`` different sentences, the most frequent first, of documents (from
+    ``split_documents``) that as a whole are nearest to the language their label names."""
     names = profiles.names
-    start = documents.sparkSession.sparkContext.broadcast(profiles.raw)
+    start = split.sparkSession.sparkContext.broadcast(profiles.raw)
     centred = profiles.centred
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = Profiles(names, start.value, centred)
+        here = Scores(Profiles(names, start.value, centred))
         for batch in batches:
-            out: list[tuple[str, str]] = []
-            for lab, body in zip(batch["label"], batch["text"]):
-                lang = label_language(lab, codes)
-                own = [t for t in (normal(s) for s in sentences(body)) if t] if lang is not None else []
-                if own:
-                    cos = np.average(here.cosines(own), axis=0, weights=[len(t) for t in own])
-                    if names[int(cos.argmax())] == lang:
-                        out += [(lang, t) for t in dict.fromkeys(own)]
-            counts = Counter(out)
+            counts: Counter = Counter()
+            for lang, own in zip(batch["lang"], batch["sentences"]):
+                own = list(own)
+                cos = np.average(here.of(own), axis=0, weights=[len(t) for t in own])
+                if names[int(cos.argmax())] == lang:
+                    counts.update((lang, t) for t in own)
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "sentence", "n"])
 
-    known = documents.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).filter("label is not null and text is not null")
-    found = known.mapInPandas(pick, "lang string, sentence string, n int").groupBy("lang", "sentence").agg(F.sum("n").alias("n"))
+    found = split.mapInPandas(pick, "lang string, sentence string, n int").groupBy("lang", "sentence").agg(F.sum("n").alias("n"))
     # A sentence that occurs under several labels belongs to the one it has most often; documents in several languages
     # would teach the wrong one otherwise.
     best = F.struct("n", F.xxhash64("lang"))
@@ -310,19 +376,29 @@ def retrain(profiles: Profiles, langs: list[str], texts: list[str], rounds: int
     centre = Profiles(profiles.names, protos).prototypes
     # Corrections, softened: every sentence pulls its own prototype and pushes each other one by how far it is confused
     # with it; languages weigh alike however much text they have.
-    weight = share
+    weight = share.astype(np.float32)
+    some, part = many, rows
     for turn in range(rounds):
-        cos = rows @ centre.T
+        # All sentences are looked at in every tenth round; in between those that are confused, as the others hardly pull.
+        whole = turn % 10 == 0 or turn == rounds // 2
+        if whole:
+            some, part = many, rows
+        own = at[some]
+        cos = part @ centre.T
         if turn == rounds // 2:
             lead = np.maximum(cos[:, 0::2], cos[:, 1::2]).max(axis=1) - np.maximum(cos[many, at], cos[many, at ^ 1])
-            weight = share * (lead <= foreign)
+            weight = (share * (lead <= foreign)).astype(np.float32)
         logits = SHARPNESS * cos
-        logits[many, at ^ 1] = -np.inf
+        line = np.arange(len(some))
+        logits[line, own ^ 1] = -np.inf
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         pull = -p
-        pull[many, at] += 1
-        centre = unit(centre + rate / (1 + turn / 20) * ((pull * weight[:, None]).T.astype(np.float32) @ rows)).astype(np.float32)
+        pull[line, own] += 1
+        centre = unit(centre + rate / (1 + turn / 20) * ((pull * weight[some, None]).T @ part)).astype(np.float32)
+        if whole:
+            some = many[(pull[line, own] > CONFUSED) & (weight > 0)]
+            part = rows[some]
     return Profiles(profiles.names, centre, centred=True)
 
 
@@ -337,8 +413,10 @@ def fit(documents: DataFrame, reference: list[dict], text: str = "text", label:
     total = documents.count()
     if total > bound:
         documents = documents.filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * bound / total))
+    # Split once for both passes.
+    split = Cuts(documents.sparkSession, "languages").cut(split_documents(documents, codes, text, label))
     for _ in range(passes):
-        rows = labelled_sentences(profiles, documents, codes, per_language, text, label).collect()
+        rows = labelled_sentences(profiles, split, per_language).collect()
         rows.sort()
         profiles = retrain(profiles if profiles.centred is False else fit_reference(reference), [r["lang"] for r in rows], [r["sentence"] for r in rows])
     return profiles
@@ -372,42 +450,38 @@ def segments(documents: DataFrame, profiles: Profiles, codes: dict[str, str], te
     centred = profiles.centred
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = Profiles(names, start.value, centred)
+        split, here = Splitter(), Scores(Profiles(names, start.value, centred))
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                yield pd.DataFrame(_segments_of(batch.iloc[at : at + 256], here, codes), columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+            for at in range(0, len(batch), 1024):
+                yield pd.DataFrame(_segments_of(batch.iloc[at : at + 1024], split, here, names, codes), columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     rows = documents.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
     return rows.filter(F.col("text").isNotNull()).mapInPandas(run, SEGMENTS)
 
 
-def _segments_of(batch: pd.DataFrame, here: Profiles, codes: dict[str, str]) -> list[tuple]:
+def _segments_of(batch: pd.DataFrame, split: Splitter, scores: Scores, names: list[str], codes: dict[str, str]) -> list[tuple]:
     texts, counts = [], []
     for body in batch["text"]:
-        own = [t for t in (normal(s) for s in sentences(body)) if t]
+        own = split(body)
         texts += own
         counts.append(len(own))
-    # Documents repeat sentences a great deal; each is scored once a batch.
-    unique = list(dict.fromkeys(texts))
-    place = {t: i for i, t in enumerate(unique)}
-    cos = here.cosines(unique)
+    cos = scores.of(texts)
+    sizes = np.array([len(t) for t in texts], float)
     out, at = [], 0
     for doc, label, n in zip(batch["doc_id"], batch["label"], counts):
-        own = texts[at : at + n]
+        rows, weights = cos[at : at + n], sizes[at : at + n]
         at += n
         if not n:
             continue
-        rows = cos[[place[t] for t in own]]
-        sizes = np.array([len(t) for t in own], float)
-        lang, _ = judge(rows, sizes)
+        lang, _ = judge(rows, weights)
         edges = np.flatnonzero(np.r_[True, lang[1:] != lang[:-1], True])
         label = None if label is None or label != label else label
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            mean = np.average(rows[a:b], axis=0, weights=sizes[a:b])
+            mean = np.average(rows[a:b], axis=0, weights=weights[a:b])
             top = int(lang[a])
             rest = np.delete(mean, top)
             margin = mean[top] - (rest.max() if len(rest) else 0)
-            out.append((doc, label, label_language(label, codes), k, here.names[top], float(1 / (1 + np.exp(-40 * margin))), int(b - a), int(sizes[a:b].sum())))
+            out.append((doc, label, label_language(label, codes), k, names[top], float(1 / (1 + np.exp(-40 * margin))), int(b - a), int(weights[a:b].sum())))
     return out
 
 
