@@ -67,21 +67,21 @@ def contract(parent: np.ndarray, weight: np.ndarray, seed: int = 0) -> tuple[np.
 
 
 def _finish(with_path: bool):
-    """The rest of a contraction in one task: ``n, p, w, via`` of all live nodes to ``n, root, depth, path``."""
+    """The rest of a contraction in one task: ``n, p, w, via`` of all live nodes, each once, to ``n, root, depth, path``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
-        names = rows["n"].to_numpy()
-        place = pd.Index(names)
-        known = rows["p"].notna().to_numpy()
-        parent = np.full(len(names), -1, np.int64)
-        parent[known] = place.get_indexer(rows["p"].to_numpy()[known])
-        root, depth = contract(parent, rows["w"].to_numpy())
+        # Parents that are not among them are roots.
+        codes, names = pd.factorize(np.concatenate([rows["n"].to_numpy(), rows["p"].to_numpy()]))
+        size = len(rows)
+        parent, weight = np.full(len(names), -1, np.int64), np.zeros(len(names), np.int64)
+        parent[:size], weight[:size] = codes[size:], rows["w"]
+        root, depth = contract(parent, weight)
         via = rows["via"].to_numpy() if with_path else None
-        at, size = 0, len(names)
+        at = 0
         while at < size:
             end, paths, used = at, [], 0
             while end < size and used < PATH_IDS:
@@ -89,7 +89,7 @@ def _finish(with_path: bool):
                     back, node = [], end
                     while node >= 0:
                         back.append(names[node])
-                        back.extend(reversed(list(via[node])))
+                        back.extend(reversed(list(via[node])) if node < size else ())
                         node = parent[node]
                     paths.append(back[::-1])
                     used += len(back)
@@ -132,20 +132,22 @@ def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "pa
         linked = F.col("p").isNotNull() & (F.col("p") != F.col("n"))
         stays = ~F.col("gone")
         size = F.length("n") + F.coalesce(F.length("p"), F.lit(0))
-        facts = [F.count_if(stays).alias("live"), F.count_if(stays & linked).alias("open"), F.count_if(F.col("gone")).alias("gone"), F.coalesce(F.sum(F.when(stays, size)), F.lit(0)).alias("characters")]
+        facts = [F.count_if(stays & F.col("p").isNotNull()).alias("live"), F.count_if(stays & linked).alias("open"), F.count_if(F.col("gone")).alias("gone"), F.coalesce(F.sum(F.when(stays & F.col("p").isNotNull(), size)), F.lit(0)).alias("characters")]
         out = cuts.cut(df.observe(seen, *facts))
         return out, seen.get
 
     first = own.join(known, F.col("p") == F.col("known"), "left").select("n", F.col("known").alias("p"), F.lit(1).alias("w"), via.alias("via"), F.lit(False).alias("gone"))
     table, facts = counted(first)
+    # Roots are solved at once; live are the nodes with a link.
+    roots = table.filter("p is null").select("n", F.col("n").alias("root"), F.lit(0).alias("depth"), F.when(F.lit(with_path), F.array("n")).alias("path"))
     records: list[DataFrame] = []
     for turn in range(max_rounds):
-        live = table.filter("not gone").select("n", "p", "w", "via")
+        live = table.filter("not gone and p is not null").select("n", "p", "w", "via")
         if not facts["open"] or facts["live"] <= few and facts["characters"] <= FEW_CHARACTERS:
             break
-        children = live.filter(F.col("p").isNotNull()).groupBy(F.col("p").alias("q")).agg(F.count("*").alias("k"))
+        children = live.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("k"))
         heads = F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2)) == 0
-        linked = F.col("p").isNotNull() & (F.col("p") != F.col("n"))
+        linked = F.col("p") != F.col("n")
         counts = F.coalesce("k", F.lit(0))
         # A chain node is spliced out if its coin shows heads and its only child stays: no two neighbours go at once.
         marked = live.join(children, F.col("n") == F.col("q"), "left").select("n", "p", "w", "via", (linked & (counts == 0)).alias("rake"), (linked & (counts == 1) & heads).alias("coin"))
@@ -153,7 +155,7 @@ def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "pa
         marked_number = cuts.last()
         upper = marked.filter("coin").select(F.col("n").alias("un"), F.col("p").alias("up"), F.col("w").alias("uw"), F.col("via").alias("uvia"))
         # Of a coin's only child whether it stays; one row a parent.
-        below = marked.filter(F.col("p").isNotNull() & ~F.col("coin") & ~F.col("rake")).select(F.col("p").alias("bp")).distinct()
+        below = marked.filter(~F.col("coin") & ~F.col("rake")).select(F.col("p").alias("bp")).distinct()
         splice = F.col("un").isNotNull() & ~F.col("coin") & ~F.col("rake")
         joined_via = F.concat("uvia", F.array("p"), "via") if with_path else F.col("via")
         state = marked.join(upper, F.col("p") == F.col("un"), "left").join(below, F.col("coin") & (F.col("n") == F.col("bp")), "left").select(
@@ -170,11 +172,9 @@ def resolve_hierarchy(links: DataFrame, node: str = "node_id", parent: str = "pa
     if facts["open"]:
         solved = cuts.cut(live.repartition(1).mapInPandas(_finish(with_path), schema))
     else:
-        cyclic = F.col("p").isNotNull()
-        solved = live.select(
-            "n", F.when(cyclic, F.lit(CYCLE)).otherwise(F.col("n")).alias("root"), F.when(cyclic, F.lit(-1)).otherwise(F.lit(0)).cast("int").alias("depth"),
-            F.when(~cyclic & F.lit(with_path), F.concat("via", F.array("n"))).alias("path"),
-        )
+        # Only cores that are linked to themselves are left.
+        solved = live.select("n", F.lit(CYCLE).alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
+    solved = solved.unionByName(roots)
     for gone in reversed(records):
         above = solved.select(F.col("n").alias("pn"), F.col("root"), F.col("depth"), F.col("path"))
         path = F.concat("path", "via", F.array("n")) if with_path else F.lit(None).cast("array<string>")
