@@ -54,7 +54,8 @@ def mix(df: DataFrame, targets: DataFrame, ident: str, text: str, source: str, t
     named = df.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), source_name(source).alias("name"))
     known = F.col("name").isin([s for s, _, _ in wanted if s]) if wanted else F.lit(False)
     named = named.withColumn("source", F.when(known, F.col("name")).otherwise("(none)"))
-    sized = tokens.with_sizes(named, "text", ["doc_id", "source"], vocabulary)
+    # Written before the sort by range, which reads its input twice: texts are tokenized once.
+    sized = cuts.cut(tokens.with_sizes(named, "text", ["doc_id", "source"], vocabulary))
     keyed = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
     # No number of partitions is given, so adaptive execution chooses it by size.
     ordered = keyed.repartitionByRange("source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id")

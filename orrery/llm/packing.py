@@ -136,7 +136,7 @@ def pack(df: DataFrame, ident: str, text: str, capacity: int, vocabulary: str =
 
     Scale: the driver sees the histogram (at most one number per size up to the capacity) and makes the plan from it;
     documents are numbered within their size in salted parts and find their container by a join with the plan, whose
-    rows are bounded by the capacity, not by the data.
+    rows are bounded by the capacity, not by the data. The plan is checked to hold every piece exactly once.
     """
     spark, cuts = df.sparkSession, Cuts(df.sparkSession, "pack")
     sized = tokens.with_sizes(df.withColumnsRenamed({ident: "doc_id"}), text, ["doc_id"], vocabulary)
@@ -157,10 +157,13 @@ def pack(df: DataFrame, ident: str, text: str, capacity: int, vocabulary: str =
             table.append((s, int(at[s]), int(at[s] + times * m), base, m))
             at[s] += times * m
         base += times
+    held = np.where(np.arange(capacity + 1) > 0, histogram, 0)
+    if (at != held).any():
+        raise RuntimeError(f"the plan does not hold every piece once: sizes {np.flatnonzero(at != held)[:5].tolist()}")
     places = spark.createDataFrame(table or [(-1, 0, 0, 0, 1)], "psize int, first bigint, beyond bigint, base bigint, per int")
     # Numbers within a size: salted parts are numbered on their own and moved by the sizes of the parts before.
     salts = max(1, int(-(-histogram.max() // NUMBERED)))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int"))
+    salted = pieces.filter("size > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int"))
     parts = salted.groupBy("size", "salt").count().withColumn(
         "before", F.sum("count").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
     )
@@ -168,6 +171,9 @@ def pack(df: DataFrame, ident: str, text: str, capacity: int, vocabulary: str =
     window = Window.partitionBy("size", "salt").orderBy("doc_id", "piece_no")
     numbered = salted.withColumn("n", F.row_number().over(window) - 1).join(parts, (F.col("size") == F.col("s2")) & (F.col("salt") == F.col("t2")))
     numbered = numbered.withColumn("n", F.col("n") + F.col("before"))
-    found = numbered.join(F.broadcast(places), (F.col("size") == F.col("psize")) & (F.col("n") >= F.col("first")) & (F.col("n") < F.col("beyond")), "left")
-    container = F.coalesce(F.col("base") + F.floor((F.col("n") - F.col("first")) / F.col("per")), F.lit(0)).cast("bigint")
-    return found.select(container.alias("container_id"), "doc_id", "piece_no", "token_start", F.col("size").cast("bigint").alias("n_tokens"))
+    found = numbered.join(F.broadcast(places), (F.col("size") == F.col("psize")) & (F.col("n") >= F.col("first")) & (F.col("n") < F.col("beyond")))
+    container = (F.col("base") + F.floor((F.col("n") - F.col("first")) / F.col("per"))).cast("bigint")
+    out = found.select(container.alias("container_id"), "doc_id", "piece_no", "token_start", F.col("size").cast("bigint").alias("n_tokens"))
+    # Texts without a token take no place.
+    none = pieces.filter("size = 0").select(F.lit(0).cast("bigint").alias("container_id"), "doc_id", "piece_no", "token_start", F.lit(0).cast("bigint").alias("n_tokens"))
+    return out.unionByName(none)

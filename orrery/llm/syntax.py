@@ -19,26 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm import syntax_python
+from orrery.llm import syntax_go, syntax_js, syntax_python
 from orrery.sources import lexing
 from orrery.sources.lexing import NUMBER, STRING, WORD, Source
 
-_JS_OPERAND_FIRST = frozenset(
-    "return typeof instanceof in of new delete void throw case do else yield await export default import extends const let var function class if while for switch try catch finally with"
-    " keyof infer as satisfies implements".split()
-)
-_JS_INFIX = frozenset("instanceof in of as from extends".split())
-_TS_INFIX = frozenset("is satisfies implements keyof asserts".split())
-_JS_PREFIX = frozenset("async get set static of as from let await yield accessor using".split())
-_TS_PREFIX = frozenset("type interface namespace module declare abstract readonly public private protected override enum is keyof infer unique asserts global in out satisfies implements const".split())
-_NEEDS_VALUE = frozenset("= == === != !== <= && || ?? + - * / % & | ^ ** += -= *= /= %= &= |= ^= <<= **= &&= ||= ??= ~ . ?. ... << =>".split())
-_CANNOT_START = frozenset(") ] } ; , = == === != !== * % && || ?? <= += -= *= /= %= &= |= ^= <<= **= &&= ||= ??= => . ?. ** ^".split())
-_JS_RESERVED = frozenset("break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false".split())
-#: Words that are looked at more closely where a value may begin.
-_JS_SPECIAL = _JS_OPERAND_FIRST | _JS_RESERVED | _TS_PREFIX | _JS_PREFIX | _TS_INFIX | frozenset(("global", "module", "default"))
-_STATEMENTS = frozenset("break continue const let var function class if while for switch try throw return do import export debugger".split())
-
-
 @contextmanager
 def quiet() -> Iterator[None]:
     """While many files are read: the parser's warnings about odd literals are of no concern, nor is searching the many
@@ -64,10 +48,10 @@ def fault_of(text: str, language: str, jsx: bool = False, source: Source | None
     if marker := _marker(source):
         return marker
     if language == "go":
-        return _go_fault(source)
+        return syntax_go.fault_of(source)
     if language == "rust":
         return _rust_fault(source)
-    return _js_fault(source, language == "typescript")
+    return syntax_js.fault_of(source, language == "typescript")
 
 
 def _marker(s: Source) -> tuple[int, str] | None:
@@ -94,396 +78,6 @@ def _python_fault(text: str, source: Source) -> tuple[int, str] | None:
     return None
 
 
-class _Frame:
-    """One open bracket: its mark, what it holds, and question marks that wait for their colon."""
-
-    __slots__ = ("mark", "kind", "asks", "case", "head")
-
-    def __init__(self, mark: str, kind: str):
-        self.mark, self.kind, self.asks, self.case, self.head = mark, kind, 0, False, ""
-
-
-def _js_fault(s: Source, ts: bool) -> tuple[int, str] | None:
-    kinds, values, starts, begins = s.kinds, s.values, s.starts, s.begins
-    n = len(kinds)
-    infix = _JS_INFIX | _TS_INFIX if ts else _JS_INFIX
-    prefix = _JS_PREFIX | _TS_PREFIX if ts else _JS_PREFIX
-    frames = [_Frame("", "block")]
-    # head: a construct whose body or end is still to come in this frame, such as a class before its brace.
-    value_before = False
-    for i in range(n):
-        kind, value = kinds[i], values[i]
-        if not value_before and (kind == WORD and value not in _JS_SPECIAL or kind == NUMBER):
-            # By far most values: a plain name or number where one may stand.
-            value_before = True
-            continue
-        frame = frames[-1]
-        previous, before = (kinds[i - 1], values[i - 1]) if i else ("", "")
-        member = previous in (".", "?.")
-        if kind == WORD or kind == NUMBER or kind == STRING:
-            key = member or (i + 1 < n and kinds[i + 1] in (":", "(", "?", "=", ",", "}", "<") and frame.kind in ("object", "class", "members", "names"))
-            if kind == STRING and value[0] == "}" and value_before is False and previous != STRING and not (previous == "}"):
-                return starts[i], "operator without its value"
-            tail = kind == STRING and value[0] == "}"
-            if value_before and not member and not tail:
-                loose = frame.kind in ("block", "class", "members", "switch", "enum")
-                if previous == "}" or previous == ")" and (_control(s, i - 1) or frame.kind == "class" and _decorates(s, i - 1)):
-                    pass
-                elif kind == WORD and value in infix:
-                    pass
-                elif begins[i] and loose:
-                    pass
-                elif kind == STRING and value[0] == "`":
-                    pass
-                elif previous == WORD and before in ("break", "continue") and kind == WORD and not begins[i] and not (i > 1 and kinds[i - 2] in (".", "?.")):
-                    pass
-                elif previous == WORD and before in prefix and (ts or before in ("async", "let", "of", "await", "yield", "as", "from", "using", "accessor") or frame.kind in ("class", "object")):
-                    pass
-                elif previous == ">" or frame.head in ("type", "declare", "import", "export"):
-                    pass
-                else:
-                    return starts[i], "two values with nothing between"
-            if kind == WORD and not member:
-                if not ts and value in ("interface", "namespace", "declare", "abstract", "enum", "type") and not value_before and i + 1 < n and kinds[i + 1] == WORD and not begins[i + 1] and values[i + 1] not in infix:
-                    return starts[i], "not of this language"
-                if value == "class":
-                    frame.head = "class"
-                elif ts and value in ("interface", "enum", "namespace", "module", "declare", "global") and (i + 1 < n and (kinds[i + 1] in (WORD, STRING) or value == "global" and kinds[i + 1] == "{")) and not begins[i + 1]:
-                    frame.head = "block" if value in ("namespace", "module", "global") else value
-                elif ts and value == "type" and i + 2 < n and kinds[i + 1] == WORD and kinds[i + 2] in ("=", "<") and not begins[i + 1]:
-                    frame.head = "type"
-                elif value in ("import", "export") and frame.kind == "block" and (begins[i] or previous in (";", "}", "")):
-                    if i + 1 < n and kinds[i + 1] in ("{", "*", STRING) or (value == "import" and i + 1 < n and kinds[i + 1] == WORD):
-                        frame.head = "import"
-                elif value == "case" or value == "default" and frame.kind == "switch":
-                    frame.case = True
-                elif value == "function" and not key:
-                    if i + 1 < n and kinds[i + 1] not in (WORD, "*", "("):
-                        return starts[i], "function without a name or parameters"
-                elif value in ("if", "while", "switch", "for", "with") and not key:
-                    if i + 1 >= n or not (kinds[i + 1] == "(" or value == "for" and values[i + 1] == "await"):
-                        return starts[i], "condition without parentheses"
-                elif value in ("const", "let", "var") and not key and value_before is False:
-                    if value != "let" and (i + 1 >= n or kinds[i + 1] not in (WORD, "{", "[")):
-                        return starts[i], "declaration without a name"
-                    if i + 1 < n and kinds[i + 1] == WORD:
-                        if values[i + 1] in _JS_RESERVED and not (ts and values[i + 1] == "enum"):
-                            return starts[i + 1], "reserved word as a name"
-                        after = kinds[i + 2] if i + 2 < n else ";"
-                        if after == ":" and not ts:
-                            return starts[i + 2], "not of this language"
-                        if after not in ("=", ":", ";", ",", "!", ")", "}") and not (kinds[i + 2] == WORD and (values[i + 2] in ("of", "in") or begins[i + 2])) and not begins[i + 2] and values[i + 1] != "enum":
-                            return starts[i + 2], "declaration without a value"
-                        if value == "const" and after == ";" and not ts:
-                            return starts[i], "declaration without a value"
-                elif value in ("extends", "implements") and not key and not ts and value == "implements" and value_before:
-                    return starts[i], "not of this language"
-            value_before = member or not (kind == WORD and value in _JS_OPERAND_FIRST) or key and not value_before
-            if kind == STRING and value.endswith("${") :
-                value_before = False
-            continue
-        if kind in ("(", "[", "{"):
-            if kind == "{":
-                opened = _brace_kind(s, i, frame, value_before, ts)
-                if opened == "" or opened == "object" and value_before and not begins[i] and previous not in (")", "}", ">", WORD) and not ts:
-                    return starts[i], "block in the place of an operator"
-                if not ts and frame.head == "class" and _generic_heritage(s, i):
-                    return starts[i], "not of this language"
-                frame.head = ""
-                frame.case = False if opened != "block" else frame.case
-            elif kind == "(":
-                opened = "control" if previous == WORD and before in ("if", "while", "for", "switch", "with", "catch") and not (i > 1 and kinds[i - 2] in (".", "?.")) else "paren"
-            else:
-                opened = "index"
-            frames.append(_Frame(kind, opened))
-            value_before = False
-            continue
-        if kind in (")", "]", "}"):
-            if not value_before and previous in _NEEDS_VALUE and not (previous == "*" and ts) and previous != "=>":
-                if not (previous == "..." ):
-                    return starts[i], "operator without its value"
-            if previous == "=>" or (kind == ")" and frame.kind == "control" and i and s.partner.get(i) == i - 1):
-                return starts[i], "operator without its value"
-            if len(frames) > 1:
-                frames.pop()
-            value_before = True
-            continue
-        # Operators and separators.
-        if kind == ":":
-            if frame.asks:
-                frame.asks -= 1
-            elif frame.case and frame.kind in ("switch", "block"):
-                frame.case = False
-            elif not ts and frame.kind in ("paren", "control", "index", "class"):
-                return starts[i], "not of this language"
-            elif not ts and frame.kind == "block" and previous != WORD:
-                return starts[i], "not of this language"
-            if not value_before and previous in _NEEDS_VALUE:
-                return starts[i], "operator without its value"
-            value_before = False
-            continue
-        if kind == "?":
-            if i + 1 < n and kinds[i + 1] in (":", ")", ",", ";", "(", "=", "]") and (ts or kinds[i + 1] == "("):
-                if kinds[i + 1] == "(" and value_before:
-                    frame.asks += 1
-                    value_before = False
-                elif not ts:
-                    return starts[i], "not of this language"
-                continue
-            if not value_before:
-                return starts[i], "operator without its value"
-            frame.asks += 1
-            value_before = False
-            continue
-        if kind == ";":
-            if frame.kind in ("paren", "index", "object") and frame.mark != "{" and frame.kind != "control":
-                return starts[i], "statement end inside brackets"
-            if not value_before and previous in _NEEDS_VALUE and not (previous == "*"):
-                return starts[i], "operator without its value"
-            if previous == WORD and before in ("const", "var", "new", "throw", "typeof", "case") and not (i > 1 and kinds[i - 2] in (".", "?.")):
-                return starts[i], "operator without its value"
-            frame.head, frame.case, frame.asks = "", False, 0
-            value_before = False
-            continue
-        if kind == "!":
-            # After a value TypeScript asserts that it is not null.
-            if value_before and ts and not begins[i]:
-                continue
-            if value_before and not begins[i]:
-                return starts[i], "two values with nothing between"
-            value_before = False
-            continue
-        if kind in ("++", "--"):
-            # On a new line it belongs to the value that follows.
-            value_before = value_before and not begins[i]
-            continue
-        if kind == "@":
-            value_before = False
-            continue
-        if kind == ",":
-            if previous == "," and frame.kind not in ("index",) or previous in _NEEDS_VALUE and previous != "*" or i == 0 or previous == "(" or previous == ";":
-                return starts[i], "operator without its value"
-            value_before = False
-            continue
-        if not value_before and kind in _CANNOT_START and previous in _NEEDS_VALUE and not (kind == "*" and ts):
-            return starts[i], "operator without its value"
-        if not value_before and kind in _CANNOT_START and kind not in ("*", ".") and previous in ("(", "[", "{", ";", ",", "", "}"):
-            return starts[i], "operator without its value"
-        if kind in ("<=", "==", "===", "&&", "||", "??") and not value_before:
-            return starts[i], "operator without its value"
-        if kind == "<<" and i + 1 < n and kinds[i + 1] in ("<<", "<"):
-            return starts[i], "conflict marker"
-        if kind == "*" and (before in ("import", "export", "function", "yield") or previous in (",", "{", "}", ";") and frame.kind in ("class", "object", "block")):
-            value_before = True if before in ("import", "export") else False
-            continue
-        value_before = False
-    if not value_before and n and kinds[-1] in _NEEDS_VALUE:
-        return starts[-1], "premature end"
-    if n and kinds[-1] == WORD and values[-1] in ("const", "let", "function", "class", "import", "export", "if", "while", "for", "new", "extends") and not (n > 1 and kinds[-2] in (".", "?.")):
-        return starts[-1], "premature end"
-    return None
-
-
-def _control(s: Source, closer: int) -> bool:
-    """Whether a closing parenthesis ends the condition of a statement."""
-    opened = s.partner.get(closer)
-    return bool(opened) and s.values[opened - 1] in ("if", "while", "for", "with", "catch", "await", "switch") and not (opened > 1 and s.kinds[opened - 2] in (".", "?."))
-
-
-def _decorates(s: Source, closer: int) -> bool:
-    """Whether a closing parenthesis ends the arguments of a decorator."""
-    k = s.partner.get(closer, 0) - 1
-    while k > 1 and s.kinds[k] == WORD and s.kinds[k - 1] == ".":
-        k -= 2
-    return k > 0 and s.kinds[k] == WORD and s.kinds[k - 1] == "@"
-
-
-def _generic_heritage(s: Source, i: int) -> bool:
-    """Whether type arguments stand between the word class and its brace."""
-    for k in range(i - 1, max(-1, i - 40), -1):
-        if s.kinds[k] == "<":
-            return True
-        if s.values[k] == "class" or s.kinds[k] in (";", "}", ")"):
-            return False
-    return False
-
-
-def _brace_kind(s: Source, i: int, frame: _Frame, value_before: bool, ts: bool) -> str:
-    """What an opening brace holds, by what stands before it."""
-    previous, before = (s.kinds[i - 1], s.values[i - 1]) if i else ("", "")
-    if frame.head:
-        return {"class": "class", "interface": "members", "enum": "object", "import": "names", "type": "members", "declare": "block", "block": "block", "export": "names"}[frame.head]
-    if previous in ("", ";", "{", "}", "=>", ")") or previous == STRING and before.endswith("}"):
-        return "switch" if previous == ")" and (opened := s.partner.get(i - 1)) and s.values[opened - 1] == "switch" else "object" if previous in ("{", "}") and frame.kind in ("index",) else "block"
-    if previous == WORD and before in ("else", "try", "finally", "do", "static", "catch"):
-        return "block"
-    if not value_before or previous in ("=", "(", ",", "[", "?", ":", "&&", "||", "??", "return", "..."):
-        if previous == ":" and frame.kind in ("switch", "block") and not ts:
-            return "block" if frame.kind == "switch" else "object"
-        return "members" if ts and previous in (":", "|", "&", "<") else "object"
-    # A value stands before: the result type of a function in TypeScript, or a block on a new line.
-    if ts:
-        k = i - 1
-        while k > 0 and s.kinds[k] not in (";", "{", "}", "=", ","):
-            if s.kinds[k] == ")" :
-                return "block"
-            k = s.partner.get(k, k) - 1 if s.kinds[k] in ("]",) else k - 1
-        return "block"
-    return "block" if s.begins[i] else ""
-
-
-_GO_TOP = frozenset("func var const type import".split())
-_GO_KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
-_GO_NEEDS = frozenset("+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || == != < <= > >= = := . ! <-".split())
-
-
-def _go_fault(s: Source) -> tuple[int, str] | None:
-    kinds, values, starts, begins = s.kinds, s.values, s.starts, s.begins
-    n = len(kinds)
-    if n < 2 or values[0] != "package" or kinds[1] != WORD or values[1] in _GO_KEYWORDS:
-        return (starts[0] if n else 0), "no package clause"
-    frames = ["top"]
-    for i in range(2, n):
-        kind, value = kinds[i], values[i]
-        previous, before = kinds[i - 1], values[i - 1]
-        frame = frames[-1]
-        after_value = previous in (NUMBER, STRING, ")", "]", "}") or previous == WORD and before not in _GO_KEYWORDS or before in ("break", "continue", "fallthrough", "return")
-        fresh = begins[i] and (after_value or previous in ("++", "--")) or previous == ";" or previous in ("{", "") or i == 2
-        if frame == "top" and fresh and kind != ";":
-            if value not in _GO_TOP:
-                return starts[i], "not a declaration"
-        if kind in (WORD, NUMBER, STRING):
-            if value == "package" and kind == WORD:
-                return starts[i], "unexpected package clause"
-            if fresh or not after_value or previous == ";":
-                pass
-            elif kind == WORD and value in ("func", "struct", "interface", "map", "chan", "range", "else") or previous == "]":
-                pass
-            elif frame in ("types", "fields", "decl"):
-                pass
-            elif previous == ")" and _go_signature(s, i - 1):
-                pass
-            elif before in ("return", "case") or previous == "}" and value == "else":
-                pass
-            elif previous == WORD and i > 1 and values[i - 2] in ("var", "const", "type", "func") or (previous == WORD and _go_declares(s, i)):
-                pass
-            else:
-                return starts[i], "two values with nothing between"
-            if fresh and frame == "block" and kind == WORD and value == "func" and i + 1 < n and kinds[i + 1] == WORD:
-                return starts[i], "function declared in a block"
-        elif kind in ("(", "[", "{"):
-            if kind == "(":
-                if previous == WORD and before in ("import", "const", "var", "type") :
-                    frames.append("decl")
-                elif _go_params(s, i):
-                    frames.append("types")
-                else:
-                    frames.append("paren")
-            elif kind == "[":
-                generic = previous == WORD and i > 1 and values[i - 2] in ("func", "type")
-                frames.append("types" if generic or frame in ("types", "fields") else "paren")
-            elif before in ("struct", "interface"):
-                frames.append("fields")
-            elif frame in ("top", "block", "decl") or _go_block(s, i):
-                frames.append("block" if _go_block(s, i) else "values")
-            else:
-                frames.append("block" if _go_block(s, i) else "values")
-            continue
-        elif kind in (")", "]", "}"):
-            if previous in _GO_NEEDS and previous != "...":
-                return starts[i], "operator without its value"
-            if begins[i] and kind in (")", "}") and frame in ("paren", "values", "types") and after_value and kind != previous and not (previous in ("(", "{", "[")):
-                return starts[i], "missing comma before the line end"
-            if len(frames) > 1:
-                frames.pop()
-            continue
-        elif kind in ("==", "!=", "<=", ">=", "&&", "||", "/", "%", ":=", "=", "+=", ".", "<<", ">>") and not after_value:
-            return starts[i], "operator without its value"
-        elif kind == ":=" and previous != WORD:
-            return starts[i], "assignment to no name"
-        elif kind == ";" and previous in _GO_NEEDS:
-            return starts[i], "operator without its value"
-        elif kind == "," and (previous in _GO_NEEDS or previous in (",", "(", "[", ";")):
-            return starts[i], "operator without its value"
-        if begins[i] and not fresh and frame in ("paren", "values") and kind in (WORD, NUMBER, STRING) and after_value:
-            return starts[i], "missing comma"
-        if fresh and begins[i] and frame in ("paren", "values") and after_value and previous != "{":
-            return starts[i], "missing comma"
-    if kinds[-1] in _GO_NEEDS:
-        return starts[-1], "premature end"
-    return None
-
-
-def _go_signature(s: Source, closer: int) -> bool:
-    """Whether a closing parenthesis ends the parameters of a function (a result type may follow)."""
-    opened = s.partner.get(closer)
-    return opened is not None and _go_params(s, opened)
-
-
-def _go_params(s: Source, i: int) -> bool:
-    """Whether an opening parenthesis begins parameters, results or a receiver."""
-    k = i - 1
-    if k >= 0 and s.values[k] == "func":
-        return True
-    if k >= 1 and s.kinds[k] == WORD and s.values[k - 1] == "func":
-        return True
-    if k >= 1 and s.kinds[k] == WORD and s.kinds[k - 1] == ")" and (o := s.partner.get(k - 1)) and s.values[o - 1] == "func":
-        return True
-    if k >= 0 and s.kinds[k] == ")" and (o := s.partner.get(k)) is not None:
-        return _go_params(s, o)
-    if k >= 0 and s.kinds[k] == "]" and (o := s.partner.get(k)) and s.kinds[o - 1] == WORD and s.values[o - 2] == "func":
-        return True
-    # Methods in an interface.
-    j = i
-    depth = 0
-    while j > 0 and depth < 60:
-        j -= 1
-        depth += 1
-        if s.kinds[j] in (")", "]", "}") and j in s.partner:
-            j = s.partner[j]
-        elif s.kinds[j] == "{":
-            return s.values[j - 1] == "interface"
-        elif s.kinds[j] == "(":
-            return False
-    return False
-
-
-def _go_declares(s: Source, i: int) -> bool:
-    """Whether the names before token i belong to a var or const declaration on this line."""
-    k = i - 1
-    while k > 0 and not s.begins[k]:
-        k -= 1
-    return s.values[k] in ("var", "const", "type")
-
-
-def _go_block(s: Source, i: int) -> bool:
-    """Whether an opening brace begins statements: after a function's head or a statement's head on the same line."""
-    k, seen = i - 1, 0
-    if s.values[k] in ("else", "select", "switch", "for", "default") or s.kinds[k] in ("{", ";", ":"):
-        return True
-    while k >= 0 and seen < 200:
-        if s.values[k] in ("func", "if", "for", "switch", "select") and s.kinds[k] == WORD:
-            return True
-        if s.kinds[k] in (")", "]", "}") and k in s.partner:
-            if s.kinds[k] == "}" and s.begins[k + 1]:
-                return False
-            k = s.partner[k]
-            if s.begins[k]:
-                return False
-            k -= 1
-            seen += 1
-            continue
-        if s.kinds[k] in ("{", "(", "["):
-            return False
-        if s.kinds[k] in ("=", ":=") and not any(v in ("if", "for", "switch") for v in s.values[max(0, k - 12) : k]):
-            return False
-        if s.begins[k]:
-            return s.values[k] in ("func", "if", "for", "switch", "select")
-        k -= 1
-        seen += 1
-    return False
-
-
 _RUST_ITEMS = frozenset("use fn pub struct enum impl trait mod const static type extern unsafe async macro_rules union auto default".split())
 _RUST_WORDS = frozenset("as break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type unsafe use where while async await".split())
 _RUST_OPEN = _RUST_WORDS - {"crate", "break", "continue", "await", "return"}
