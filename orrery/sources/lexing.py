@@ -49,7 +49,7 @@ _RUST = re.compile(
     _SPACE + r"""(?:(\n\s*)|(//[^\n]*)|(/\*)|((?:r\#)?(?!b?r\#*\"|[bc]\"|b'|cr\#*\")""" + _NAME + r""")
     |((?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?)
     |([bc]?"(?:[^"\\]|\\[\s\S])*"|[bc]?r(\#*)".*?"\7(?!\#)|b?'(?:[^'\\\n]|\\(?:[nrt\\0'"]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))'|('""" + _NAME + r""")(?!'))
-    |(\.\.=|\.\.\.|<<=|::|->|=>|==|!=|<=|&&|\|\||\.\.|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%&|^!<>=?:;,.(){}\[\]@\#$]))""",
+    |(\.\.=|\.\.\.|<<=|::|->|=>|==|!=|<=|&&|\|\||\.\.|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%&|^!~<>=?:;,.(){}\[\]@\#$]))""",
     re.X | re.S,
 )
 _PY = re.compile(
