@@ -1,9 +1,9 @@
 """Source files that are not valid in their language (problem 2).
 
-The lexers of ``lexing`` match brackets on a stack and blame what they cannot read. On their tokens a second pushdown
-pass follows, with one frame per open bracket: two values with nothing between, an operator without its value, words
-a construct cannot go on with, and constructs only another language has are blamed too. For Python the interpreter's
-own parser, an exact check, has the last word.
+The lexers of ``lexing`` match brackets on a stack and blame what they cannot read; markers of merge conflicts and diffs
+among the tokens are blamed next. On the tokens of each language a reader follows that goes down a level at every opener:
+``syntax_go``, ``syntax_js`` (TypeScript too), ``syntax_python`` and ``syntax_rust``. What the Python reader blames is checked by
+the interpreter's own parser, which may only acquit.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm import syntax_go, syntax_js, syntax_python
+from orrery.llm import syntax_go, syntax_js, syntax_python, syntax_rust
 from orrery.sources import lexing
-from orrery.sources.lexing import NUMBER, STRING, WORD, Source
+from orrery.sources.lexing import STRING, WORD, Source
+
 
 @contextmanager
 def quiet() -> Iterator[None]:
@@ -50,7 +51,7 @@ def fault_of(text: str, language: str, jsx: bool = False, source: Source | None
     if language == "go":
         return syntax_go.fault_of(source)
     if language == "rust":
-        return _rust_fault(source)
+        return syntax_rust.fault_of(source)
     return syntax_js.fault_of(source, language == "typescript")
 
 
@@ -78,164 +79,6 @@ def _python_fault(text: str, source: Source) -> tuple[int, str] | None:
     return None
 
 
-_RUST_ITEMS = frozenset("use fn pub struct enum impl trait mod const static type extern unsafe async macro_rules union auto default".split())
-_RUST_WORDS = frozenset("as break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type unsafe use where while async await".split())
-_RUST_OPEN = _RUST_WORDS - {"crate", "break", "continue", "await", "return"}
-_RUST_AFTER_VALUE = frozenset("as else if in where for".split())
-_RUST_NEEDS = frozenset("= == != <= >= && + - / % ^ += -= *= /= %= &= |= ^= <<= -> => . ::".split())
-_RUST_STATEMENTS = frozenset("let fn use struct enum impl trait mod while loop return static".split())
-
-
-def _rust_fault(s: Source) -> tuple[int, str] | None:
-    kinds, values, starts = s.kinds, s.values, s.starts
-    n = len(kinds)
-    frames = ["top"]
-    fresh = True
-    i = 0
-    while i < n:
-        kind, value = kinds[i], values[i]
-        previous, before = (kinds[i - 1], values[i - 1]) if i else ("", "")
-        frame = frames[-1]
-        item_start = fresh and frame in ("top", "items")
-        fresh = False
-        if kind == "#" and i + 1 < n and kinds[i + 1] in ("[", "!"):
-            # An attribute is skipped whole.
-            k = i + 1 if kinds[i + 1] == "[" else i + 2
-            if k >= n or kinds[k] != "[":
-                return starts[i], "malformed attribute"
-            i = s.partner.get(k, n) + 1
-            fresh = True
-            if i >= n and frame == "top" and kinds[k - 1] != "!":
-                return starts[k], "attribute without an item"
-            continue
-        if kind == "#":
-            return starts[i], "unexpected character"
-        if item_start and not (kind == WORD and (value in _RUST_ITEMS or i + 1 < n and kinds[i + 1] in ("!", "::"))) and kind not in (";", "}"):
-            return starts[i], "not an item"
-        after_value = previous in (NUMBER, STRING, ")", "]") or previous == WORD and before not in _RUST_OPEN or previous == "?"
-        if kind in (WORD, NUMBER, STRING, lexing.LIFETIME):
-            if after_value and previous != "}":
-                if kind == WORD and value in _RUST_AFTER_VALUE:
-                    pass
-                elif before in ("return", "break", "continue", "crate", "await", "unsafe", "async", "macro_rules", "union", "auto", "default", "raw") and previous == WORD:
-                    pass
-                elif previous == "]" and _rust_attribute(s, i - 1):
-                    pass
-                elif previous == ")" and _rust_visibility(s, i - 1):
-                    pass
-                else:
-                    return starts[i], "two values with nothing between"
-            if kind == WORD:
-                if value == "fn":
-                    if i + 1 < n and not (kinds[i + 1] == WORD or kinds[i + 1] == "("):
-                        return starts[i], "function without a name"
-                    if i + 2 < n and kinds[i + 1] == WORD and kinds[i + 2] not in ("(", "<"):
-                        return starts[i], "function without parameters"
-                    if i + 2 < n and kinds[i + 1] == WORD and kinds[i + 2] == "(":
-                        end = s.partner.get(i + 2)
-                        if end is not None and end + 1 < n and not (kinds[end + 1] in ("{", "->", ";") or values[end + 1] == "where"):
-                            return starts[end + 1], "function without a body"
-                elif value == "let" and i + 1 < n and not (kinds[i + 1] in (WORD, "(", "[", "&", "_", NUMBER, STRING, "::", "-", "<")):
-                    return starts[i], "binding without a pattern"
-                elif value in ("const", "static") and frame in ("top", "items", "block") and i + 2 < n and kinds[i + 1] == WORD and values[i + 1] not in ("fn", "unsafe", "mut", "extern", "async") and kinds[i + 2] != ":" and previous not in ("*", "<", ","):
-                    return starts[i], "constant without a type"
-                elif value in ("struct", "enum", "trait", "mod", "impl") and i + 1 < n and kinds[i + 1] not in (WORD, "<", "!", "(", "[", "&"):
-                    return starts[i], "item without a name"
-                elif value in ("if", "while", "match") and i + 1 < n and kinds[i + 1] in ("{", ";", ")", "}"):
-                    return starts[i], "condition without a value"
-        elif kind == "{":
-            frames.append(_rust_brace(s, i))
-            fresh = frames[-1] == "items"
-            i += 1
-            continue
-        elif kind in ("(", "["):
-            frames.append("group")
-        elif kind in (")", "]", "}"):
-            if previous in _RUST_NEEDS and previous not in ("=>", ".", "::") or previous in (".", "::") and kind != "}":
-                return starts[i], "operator without its value"
-            if previous == "=>":
-                return starts[i], "arm without a value"
-            if len(frames) > 1:
-                frames.pop()
-            fresh = kind == "}"
-        elif kind == ";":
-            if frame == "group" and previous in ("(", ","):
-                return starts[i], "statement end inside brackets"
-            if previous in _RUST_NEEDS or previous == "=>":
-                return starts[i], "operator without its value"
-            if frame == "group" and not _rust_array(s, i):
-                return starts[i], "statement end inside brackets"
-            fresh = True
-        elif kind == ",":
-            if previous in _RUST_NEEDS or previous in (",", "(", "[", ";"):
-                return starts[i], "operator without its value"
-            fresh = False
-        elif kind in ("==", "!=", "<=", "=>", "+=", "-=", "*=", "/=", "%", "/", "^", "=") and not (after_value or previous in ("}", ">", "_", "*", "..", "'")) and previous != lexing.LIFETIME:
-            if not (kind == "=" and previous in ("<", ">")) and not (kind == "=>" and previous in (")", "]")):
-                return starts[i], "operator without its value"
-        elif kind == "<<" and i + 1 < n and kinds[i + 1] in ("<<", "<"):
-            return starts[i], "conflict marker"
-        i += 1
-    if n and (kinds[-1] in _RUST_NEEDS or kinds[-1] == WORD and (values[-1] in _RUST_OPEN or len(kinds) > 1)):
-        return starts[-1], "premature end"
-    if n and kinds[-1] not in ("}", ";", ")", "]"):
-        return starts[-1], "premature end"
-    return None
-
-
-def _rust_attribute(s: Source, closer: int) -> bool:
-    opened = s.partner.get(closer)
-    return bool(opened) and s.kinds[opened - 1] in ("#", "!")
-
-
-def _rust_visibility(s: Source, closer: int) -> bool:
-    """``pub(crate)`` may be followed by a word."""
-    opened = s.partner.get(closer)
-    return bool(opened) and s.values[opened - 1] == "pub"
-
-
-def _rust_array(s: Source, i: int) -> bool:
-    """Whether a semicolon stands in an array such as ``[0; 4]`` or in the arguments of a macro."""
-    depth = 0
-    for k in range(i - 1, -1, -1):
-        if s.kinds[k] in (")", "]", "}"):
-            depth += 1
-        elif s.kinds[k] in ("(", "[", "{"):
-            if depth == 0:
-                return s.kinds[k] == "[" or k > 0 and s.kinds[k - 1] == "!"
-            depth -= 1
-    return False
-
-
-def _rust_brace(s: Source, i: int) -> str:
-    """What an opening brace holds: items, fields or arms (names), or statements."""
-    k, seen = i - 1, 0
-    if k < 0:
-        return "block"
-    while k >= 0 and seen < 120:
-        if s.kinds[k] in (";", "{", "}") and k not in s.partner or s.kinds[k] in (";", "{"):
-            break
-        if s.kinds[k] in (")", "]", "}") and k in s.partner:
-            if s.kinds[k] == "}":
-                break
-            k = s.partner[k] - 1
-            seen += 1
-            continue
-        if s.kinds[k] in ("=", "(", "[", ",", "=>") and s.kinds[k] != ",":
-            break
-        if s.kinds[k] == WORD:
-            v = s.values[k]
-            if v == "fn":
-                return "block"
-            if v in ("impl", "trait", "mod", "extern") and not (k > 0 and s.kinds[k - 1] in (":", "->", "(", "<", "&", ",")):
-                return "items"
-            if v in ("struct", "enum", "union", "match", "use"):
-                return "names"
-        k -= 1
-        seen += 1
-    return "block"
-
-
 WARN_HINT = r"(?i)unexpected token|missing closer|partial parse|recovered|walk stopped"
 FAULTS = "file_path string, repo string, language string, valid boolean, fault_line int, fault string, hinted boolean"
 

@@ -38,6 +38,8 @@ class _Reader:
         self.kinds, self.values, self.begins, self.n, self.i = [*s.kinds, ""], [*s.values, ""], s.begins, len(s.kinds), 0
         # The token before which a line end was taken as the semicolon it stands for.
         self.fresh = -1
+        # Whether a specification is the first of its group: only later constants may repeat the value above.
+        self.first = True
 
     # Tokens.
 
@@ -133,6 +135,7 @@ class _Reader:
     def group(self, spec) -> None:
         """One specification, or several in parentheses."""
         self.i += 1
+        self.first = True
         if self.ended() and self.i < self.n:
             raise self.wrong("specification expected")
         if self.kinds[self.i] != "(":
@@ -143,6 +146,7 @@ class _Reader:
             if self.i >= self.n:
                 raise self.wrong("premature end")
             spec()
+            self.first = False
             self.end()
         self.i += 1
 
@@ -170,7 +174,7 @@ class _Reader:
 
     def const_spec(self) -> None:
         self.names()
-        if self.ended() or self.kinds[self.i] in (";", ")"):
+        if not self.first and (self.ended() or self.kinds[self.i] in (";", ")")):
             return
         if not self.at("="):
             self.type()

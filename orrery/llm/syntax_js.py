@@ -757,7 +757,8 @@ class _Reader:
                         return
                     # An older way to write ``as``.
                     self.i += 1
-                    self.type()
+                    if not self.take_word("const"):
+                        self.type()
                     self.need(">", "closer expected")
                 else:
                     break
@@ -1161,6 +1162,8 @@ class _Reader:
                 self.i += 1
                 self.simple_type()
                 return
+            if word in ("keyof", "readonly"):
+                raise self.wrong("type expected")
             if word == "infer" and kinds[self.i + 1] == WORD:
                 self.i += 2
                 if self.word() == "extends":
