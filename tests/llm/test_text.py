@@ -20,7 +20,7 @@ VALID = {
         "const u = `a ${b + `c ${d}`} e`;\nconst r = /a[/{]b/g.test(s) && !(a instanceof B);\nlet v: typeof a | null = null, w!: string;\n",
     ],
     "javascript": [
-        "const a = require('a'), { b } = c;\nexport default async function* f(x = 1, { y }, [z]) { for await (const q of x) {} }\nlet x = y\n++z\nif (a) return\nx = { 'a': 1, if: 4, get: 5, async foo() {}, *gen() {} }\na?.b?.(c)\n/* <<<<<<< HEAD */\n",
+        "const a = require('a'), { b } = c;\nexport default async function* f(x = 1, { y }, [z]) { for await (const q of x) {}\nif (a) return\n}\nlet x = y\n++z\nx = { 'a': 1, if: 4, get: 5, async foo() {}, *gen() {} }\na?.b?.(c)\n/* <<<<<<< HEAD */\n",
     ],
     "python": ["x = f'{a!r:>{w}}'\nmatch x:\n    case [1, *_]: pass\n", "def f(a, /, *, b: int = 3) -> None: ...\n"],
 }
