@@ -41,6 +41,8 @@ LABELLED_DOCUMENTS = 20_000
 KEPT = 200_000
 #: Factor on cosines where prototypes are corrected.
 SHARPNESS = 15.0
+#: Rounds of correction, and of the earlier passes, whose prototypes only choose the sentences of the next.
+ROUNDS, CHOOSING_ROUNDS = 150, 60
 #: Share of its pull from which a sentence counts as confused.
 CONFUSED = 0.02
 
@@ -358,7 +360,7 @@ def vectors(texts: list[str], space: Space) -> np.ndarray:
     return unit(out).astype(np.float32)
 
 
-def retrain(profiles: Profiles, langs: list[str], texts: list[str], rounds: int = 150, rate: float = 0.4, foreign: float = 0.2) -> Profiles:
+def retrain(profiles: Profiles, langs: list[str], texts: list[str], rounds: int = ROUNDS, rate: float = 0.4, foreign: float = 0.2) -> Profiles:
     """Prototypes from labelled sentences: bundled, then corrected where a sentence is nearer to a wrong one.
 
     A correction adds the sentence to its own prototype and takes it off the wrong ones. Sentences that another language
@@ -415,10 +417,10 @@ def fit(documents: DataFrame, reference: list[dict], text: str = "text", label:
         documents = documents.filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * bound / total))
     # Split once for both passes.
     split = Cuts(documents.sparkSession, "languages").cut(split_documents(documents, codes, text, label))
-    for _ in range(passes):
+    for turn in range(passes):
         rows = labelled_sentences(profiles, split, per_language).collect()
         rows.sort()
-        profiles = retrain(profiles if profiles.centred is False else fit_reference(reference), [r["lang"] for r in rows], [r["sentence"] for r in rows])
+        profiles = retrain(profiles if profiles.centred is False else fit_reference(reference), [r["lang"] for r in rows], [r["sentence"] for r in rows], ROUNDS if turn == passes - 1 else CHOOSING_ROUNDS)
     return profiles
 
 
