@@ -106,6 +106,20 @@ def pagerank_converged(spark, folder):
     return G.pagerank(symbols(spark, folder), table(spark, folder, "edges")).withColumn("rank", F.round("rank", 9))
 
 
+def pagerank_mass(spark, folder):
+    """Number of ranks, their sum, and ranks that are not positive (none), at convergence."""
+    ranks = G.pagerank(symbols(spark, folder), table(spark, folder, "edges"))
+    return ranks.agg(F.count("*").alias("n"), F.round(F.sum("rank"), 6).alias("mass"), F.count_if(~(F.col("rank") > 0)).alias("wrong"))
+
+
+def louvain_cover(spark, folder):
+    """Nodes of the summed graph, and those in no or in several communities (none)."""
+    graph = G.build_graph(symbols(spark, folder), table(spark, folder, "edges"))
+    member = G.louvain(graph).groupBy("id").agg(F.count("*").alias("k"))
+    nodes = graph.select(F.col("from_id").alias("id")).unionByName(graph.select(F.col("to_id").alias("id"))).distinct()
+    return nodes.join(member, "id", "left").agg(F.count("*").alias("nodes"), F.count_if(~F.col("k").eqNullSafe(1)).alias("wrong"))
+
+
 def louvain(spark, folder):
     """Communities of the summed graph with their sizes."""
     member = G.louvain(G.build_graph(symbols(spark, folder), table(spark, folder, "edges")))
@@ -126,7 +140,7 @@ def hub_symbols(spark, folder):
     return deg.withColumn("k", F.row_number().over(order)).filter("k <= 100")
 
 
-QUERIES = {f.__name__: f for f in (callers_depth3, callees_depth3, impact_symbol, impact_files, file_context, imports_in_out, file_ranges, build_graph_weights, external_edges, file_as_module, resolve_edges, unresolved_names, resolve_path_hint, pagerank_fixed, pagerank_converged, louvain, unreferenced_symbols, hub_symbols)}
+QUERIES = {f.__name__: f for f in (callers_depth3, callees_depth3, impact_symbol, impact_files, file_context, imports_in_out, file_ranges, build_graph_weights, external_edges, file_as_module, resolve_edges, unresolved_names, resolve_path_hint, pagerank_fixed, pagerank_converged, pagerank_mass, louvain, louvain_cover, unreferenced_symbols, hub_symbols)}
 
 _SEEDS = "seeds AS (SELECT to_id AS id, to_id AS seed FROM (SELECT to_id, count(DISTINCT from_id) AS n FROM edges WHERE kind = 'calls' GROUP BY 1) ORDER BY n DESC, to_id LIMIT 20)"
 _CALLS = "calls AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'calls')"
@@ -185,6 +199,8 @@ ORACLES = {
       ex AS (SELECT st.path AS from_id, st.tail AS to_name, coalesce(x.id, h.id) AS target FROM st LEFT JOIN cls x ON x.id = st.tail LEFT JOIN h ON h.stem = st.hint AND h.tail = st.tail)
       SELECT from_id, coalesce(target, to_name) AS to_id, 'imports' AS kind, target IS NOT NULL AS resolved, count(*)::DOUBLE AS weight FROM ex GROUP BY 1, 2, 3, 4""",
     "pagerank_fixed": _pagerank(ROUNDS),
+    "pagerank_mass": f"WITH {S} SELECT count(DISTINCT id) AS n, 1.0::DOUBLE AS mass, 0 AS wrong FROM s",
+    "louvain_cover": f"WITH {S}, e AS (SELECT from_id, to_id FROM edges WHERE from_id IN (SELECT id FROM s) AND to_id IN (SELECT id FROM s)) SELECT count(*) AS nodes, 0 AS wrong FROM (SELECT from_id FROM e UNION SELECT to_id FROM e)",
     "unreferenced_symbols": f"WITH {S} SELECT language, count(*) AS n FROM s WHERE kind = 'function' AND id NOT IN (SELECT to_id FROM edges WHERE kind = 'calls' AND to_id IS NOT NULL) GROUP BY 1",
     "hub_symbols": "SELECT kind, id, n, k::INT AS k FROM (SELECT kind, to_id AS id, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, to_id) AS k FROM edges GROUP BY kind, to_id) WHERE k <= 100",
 }
