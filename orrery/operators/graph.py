@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +111,85 @@ def write_back_ranks(symbols: DataFrame, ranks: DataFrame) -> DataFrame:
     return symbols.join(ranks.withColumnRenamed("rank", "__rank"), "id", "left").withColumn("pagerank", F.coalesce("__rank", "pagerank")).drop("__rank")
 
 
-def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000) -> DataFrame:
+#: Links (both directions counted) and characters of their ids up to which one task goes on with Louvain's moves.
+FEW_LINKS, FEW_CHARACTERS = 800_000, 120_000_000
+
+
+def settle(a: np.ndarray, b: np.ndarray, w: np.ndarray, coins: np.ndarray, resolution: float, bound: int = 1000) -> np.ndarray:
+    """Community of every node, named by its smallest member, after the passes of ``louvain`` on links between numbers.
+
+    ``a, b, w``: links in both directions, loops once with their whole weight; numbers are in the order of names; ``coins``
+    holds 64 bits a node, one for each round in turn.
+    """
+    n, total = len(coins), float(w.sum())
+    label = np.arange(n)
+    for _ in range(bound):
+        k = np.bincount(a, w, n)
+        present = np.flatnonzero(np.bincount(a, minlength=n))
+        c, moved_any = np.arange(n), False
+        apart = a != b
+        x, y, weight = a[apart], b[apart], w[apart]
+        for turn in range(bound):
+            tot = np.bincount(c[present], k[present], n)
+            key = x.astype(np.int64) * n + c[y]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            node, nc = key[starts] // n, key[starts] % n
+            links = np.add.reduceat(weight[order], starts) if len(starts) else np.zeros(0)
+            own = nc == c[node]
+            gain = np.floor((links - resolution * k[node] * (tot[nc] - np.where(own, k[node], 0)) / total) * 1e9 + 0.5) / 1e9
+            stay = np.zeros(n)
+            stay[node[own]] = np.maximum(gain[own], 0)
+            order = np.lexsort((nc, gain, node))
+            node, nc, gain = node[order], nc[order], gain[order]
+            last = np.flatnonzero(np.r_[node[1:] != node[:-1], True]) if len(node) else np.zeros(0, int)
+            node, nc, gain = node[last], nc[last], gain[last]
+            wants = (gain > stay[node] + 1e-9) & (nc != c[node])
+            if not wants.any():
+                break
+            moves = wants & ((coins[node] >> np.uint64(turn % 64)) & np.uint64(1)).astype(bool)
+            c[node[moves]] = nc[moves]
+            moved_any |= bool(moves.any())
+        else:
+            raise RuntimeError(f"louvain: nodes still move after {bound} rounds")
+        if not moved_any:
+            return label
+        names = np.full(n, n)
+        np.minimum.at(names, c[present], present)
+        new = np.arange(n)
+        new[present] = names[c[present]]
+        label = new[label]
+        key = new[a].astype(np.int64) * n + new[b]
+        found, back = np.unique(key, return_inverse=True)
+        a, b, w = found // n, found % n, np.bincount(back, w)
+    raise RuntimeError(f"louvain: communities still merge after {bound} passes")
+
+
+def _settled(resolution: float, bound: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        if not len(rows):
+            return
+        codes, names = pd.factorize(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), sort=True)
+        coins = np.zeros(len(names), np.uint64)
+        coins[codes[: len(rows)]] = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
+        label = settle(codes[: len(rows)], codes[len(rows) :], rows["w"].to_numpy(), coins, resolution, bound)
+        for at in range(0, len(names), 50_000):
+            yield pd.DataFrame({"a": names[at : at + 50_000], "c": names[label[at : at + 50_000]]})
+
+    return run
+
+
+def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000, few: int = FEW_LINKS) -> DataFrame:
     """``id, community`` by synchronous local moving with modularity gains, then contraction, until neither changes anything.
 
     Undirected weights are summed. A node moves to the neighbouring community of greatest gain (ties: smaller name); only
-    half of the nodes, by a hash that changes every round, may move at once, so that neighbours do not swap for ever.
+    half of the nodes, by the bits of a hash in turn, may move at once, so that neighbours do not swap for ever.
     A pass ends when no node gains by a move, whether or not the hash lets it; the last pass is one without a move. More
     than ``bound`` rounds in a pass or ``bound`` passes are an error, never a result.
-    Deterministic. Communities are named by their smallest member id. Nodes without edges do not appear.
+    Deterministic. Communities are named by their smallest member id. Nodes without edges do not appear. A pass over at most
+    ``few`` links, of bounded size, and all later ones are made by one task, with the same moves and coins.
     """
     cuts = Cuts(edges.sparkSession, "louvain")
     both = edges.filter("from_id is not null and to_id is not null").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"))
@@ -125,6 +201,16 @@ def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000) -> Dat
     if not total:
         return member
     for _ in range(bound):
+        links, characters = level.agg(F.count("*"), F.coalesce(F.sum(F.length("a") + F.length("b")), F.lit(0))).head()
+        if links <= few and characters <= FEW_CHARACTERS:
+            rest = level.select("a", "b", "w", F.xxhash64("a").alias("h")).repartition(1).mapInPandas(_settled(resolution, bound), "a string, c string")
+            try:
+                rest = cuts.cut(rest)
+            except PySparkException as e:
+                if "louvain: " in str(e):
+                    raise RuntimeError("louvain: " + str(e).split("louvain: ")[1].split("\n")[0]) from None
+                raise
+            return member.join(rest.withColumnRenamed("a", "community"), "community").select("id", F.col("c").alias("community"))
         state = cuts.cut(level.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"))
         state_at = cuts.last()
         moved_any = False
@@ -138,7 +224,7 @@ def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000) -> Dat
             stay = cand.filter("nc = c").select("a", F.col("gain").alias("stay"))
             best = cand.groupBy("a").agg(F.max_by("nc", F.struct("gain", F.col("nc"))).alias("nc"), F.max("gain").alias("gain"))
             chosen = state.join(best, "a", "left").join(stay, "a", "left")
-            may = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
+            may = F.shiftrightunsigned(F.xxhash64("a"), turn % 64).bitwiseAND(F.lit(1)) == 1
             wants = F.coalesce((F.col("gain") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0)) + 1e-9) & (F.col("nc") != F.col("c")), F.lit(False))
             chosen = chosen.withColumn("wants", wants).withColumn("moved", F.col("wants") & may)
             fresh = cuts.cut(chosen.select("a", F.when(F.col("moved"), F.col("nc")).otherwise(F.col("c")).alias("c"), "k", "wants", "moved"))

@@ -156,3 +156,13 @@ def test_hierarchy_in_rounds(spark, few, shape):
     got = {r["node_id"]: (r["root_id"], r["depth"], r["path"]) for r in H.resolve_hierarchy(df, with_path=True, few=few).collect()}
     assert got == brute(parents)
     assert {(r["node_id"], r["depth"]) for r in H.resolve_hierarchy(df, few=few).collect()} == {(k, d) for k, (_, d, _) in got.items()}
+
+
+def test_louvain_in_one_task_and_in_rounds(spark):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}", float(rng.randrange(1, 4))) for _ in range(120)] + [("n01", None, 1.0), ("x", "x", 2.0)]
+    df = spark.createDataFrame(edges, "from_id string, to_id string, weight double")
+    one = {r["id"]: r["community"] for r in G.louvain(df, resolution=1.0).collect()}
+    rounds = {r["id"]: r["community"] for r in G.louvain(df, resolution=1.0, few=0).collect()}
+    assert one == rounds and one["x"] == "x" and None not in one
+    assert all(c == min(i for i, d in one.items() if d == c) for c in one.values())
