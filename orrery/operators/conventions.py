@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.scanners import LEAST, best_library, error_families, largest_family, seed_id
+from orrery.operators.scanners import LEAST, TEST_PATHS, best_library, error_families, largest_family, seed_id
 
 # Libraries by purpose, in order of precedence, with the modules that name them.
 FRAMEWORKS = (
@@ -40,8 +40,6 @@ TEST_FRAMEWORKS = (
 )
 #: The module of a project's own configuration, and the name of that convention.
 OWN_CONFIG, OWN_CONFIG_NAME = r"(?i)(^|[./])config(\.[a-z]+)?$", "project-local config module"
-#: Paths of tests.
-TEST_FILE = r"\.test\.[a-z]+$|\.spec\.[a-z]+$|(^|/)test_[^/]+\.py$|[^/]+_test\.go$|(^|/)tests?/.+\.(ts|tsx|js|jsx|mjs|py|rs|go)$"
 GO_TEST_FILE, GO_TESTS = r"(^|/)[^/]+_test\.go$", "Go test"
 
 #: Files that a card shows.
@@ -119,7 +117,7 @@ def test_framework(files: DataFrame, sites: DataFrame) -> DataFrame:
 
 def test_files(paths: DataFrame) -> DataFrame:
     """The distinct test files of ``file``."""
-    return paths.filter(F.col("file").rlike(TEST_FILE)).select("file").distinct()
+    return paths.filter(F.col("file").rlike(TEST_PATHS)).select("file").distinct()
 
 
 def library_conventions(sites: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from orrery.lineage import Cuts
 
 # Class names that error families begin with, in order of precedence.
 ERROR_ROOTS = ("Error", "TypeError", "RangeError", "SyntaxError", "ReferenceError", "Exception", "BaseException", "RuntimeError", "ValueError", "error")
-#: Paths of tests, as the queries count them: the patterns of ``conventions`` and folders of other ecosystems.
-TEST_PATHS = r"(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[a-z]+$|_test\.(?:go|py)$|(?:^|/)test_[^/]+\.py$|Test\.[a-z]+$"
+# Paths of tests.
+TEST_PATHS = r"\.test\.[a-z]+$|\.spec\.[a-z]+$|(^|/)test_[^/]+\.py$|[^/]+_test\.go$|(^|/)tests?/.+\.(ts|tsx|js|jsx|mjs|py|rs|go)$"
 #: Least places of evidence.
 LEAST = 2
 #: Levels of error families that are written as one table.

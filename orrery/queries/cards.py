@@ -153,6 +153,16 @@ def archive_expired(spark, folder):
     return B.expired(cards, NOW).select("id", "archive_name")
 
 
+def changed_cards(spark, folder):
+    """Clusters as cards that a run at the current epoch would write: new ones, those with another description than at
+    their first epoch, and those that had no vector."""
+    rows = table(spark, folder, "clusters").select("id", "index_epoch", F.sha2(F.coalesce("description", F.lit("")), 256).alias("body_sha256"), F.col("description_embedding").isNotNull().alias("has_vector"))
+    at = F.struct("index_epoch", "body_sha256", "has_vector")
+    per = rows.groupBy("id").agg(F.min(at).alias("old"), F.max(at).alias("new"), F.count_distinct("index_epoch").alias("epochs"))
+    new = per.select("id", "new.body_sha256")
+    return B.changed_cards(new, per.filter("epochs > 1").select("id", "old.body_sha256", "old.has_vector"))
+
+
 def newest_per_group(spark, folder):
     """The newest document of every repository, ties by id."""
     docs = table(spark, folder, "documents").filter("repo is not null and created_at is not null")
@@ -164,7 +174,7 @@ def cluster_assembly(spark, folder):
     return K.assemble(symbols(spark, folder), table(spark, folder, "edges"))
 
 
-QUERIES = {f.__name__: f for f in (path_affinity_edges, fused_weight_prune, temporal_proximity, short_content_penalty, dominant_token, dominant_basename, compose_name, stable_cluster_id, bridges, top_bridges, cluster_members_topk, stale_cluster_size, cluster_mirror, symbol_cluster_name, split_ident, observed_days, confidence, emit_gate, maturity, slugify, skill_id, skill_body, archive_expired, newest_per_group, cluster_assembly)}
+QUERIES = {f.__name__: f for f in (path_affinity_edges, fused_weight_prune, temporal_proximity, short_content_penalty, dominant_token, dominant_basename, compose_name, stable_cluster_id, bridges, top_bridges, cluster_members_topk, stale_cluster_size, cluster_mirror, symbol_cluster_name, split_ident, observed_days, confidence, emit_gate, maturity, slugify, skill_id, skill_body, archive_expired, changed_cards, newest_per_group, cluster_assembly)}
 
 _M = "m AS (SELECT * FROM s WHERE regexp_matches(cluster_id, '\\S'))"
 _RANK = "CASE WHEN isnan(pagerank) THEN NULL ELSE pagerank END"
@@ -238,6 +248,9 @@ ORACLES = {
     "skill_body": f"""WITH {_SCORED}, tk AS (SELECT cluster_id, id FROM m QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY id) <= 10),
       tm AS (SELECT cluster_id, string_agg('- `' || id || '`', chr(10) ORDER BY id) AS members FROM tk GROUP BY 1)
       SELECT cluster_id, length({_BODY})::INT AS n_chars, sha256({_BODY}) AS body_sha256 FROM sc JOIN tm USING (cluster_id) WHERE {_GATE.format(0)} = 'emit'""",
+    "changed_cards": """WITH r AS (SELECT id, index_epoch AS e, sha256(coalesce(description, '')) AS h, description_embedding IS NOT NULL AS v FROM clusters),
+      n AS (SELECT id, h FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY e DESC, h DESC, v DESC) = 1), o AS (SELECT id, h, v FROM r WHERE id IN (SELECT id FROM r GROUP BY 1 HAVING count(DISTINCT e) > 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY e, h, v) = 1)
+      SELECT n.id, n.h AS body_sha256 FROM n LEFT JOIN o ON o.id = n.id WHERE o.h IS NULL OR o.h <> n.h OR NOT o.v""",
     "archive_expired": f"""SELECT id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS archive_name FROM (SELECT doc_id AS id, lower(trim(source)) AS slug, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY created_at, doc_id) AS k
       FROM documents WHERE source IS NOT NULL AND created_at <= TIMESTAMP '{NOW}' - INTERVAL 60 DAY)""",
     "newest_per_group": "SELECT repo, doc_id FROM documents WHERE repo IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, doc_id) = 1",

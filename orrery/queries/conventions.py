@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.operators import clustering as K
 from orrery.operators import conventions as C
 from orrery.operators import graph as G
+from orrery.operators import scanners as N
 from orrery.queries.parsing import _files
 from orrery.sources import parse as P
 from orrery.tables import table
@@ -93,7 +94,7 @@ ORACLES = {
       co_users AS (SELECT file, library FROM co_known UNION ALL SELECT file, '{C.OWN_CONFIG_NAME}' FROM sites WHERE module LIKE '%/%' AND regexp_matches(module, '(?i)(^|[./])config(\\.[a-z]+)?$') AND (file, module) NOT IN (SELECT (file, module) FROM co_known)),
       c AS (SELECT 'logging' AS scanner, * FROM ({_count("lo")}) UNION ALL SELECT 'config-env', library, files, coalesce(place, 99) FROM ({_count("co")}) UNION ALL SELECT 'persistence', * FROM ({_count("pe")}))
       SELECT scanner, library, files FROM c QUALIFY row_number() OVER (PARTITION BY scanner ORDER BY files DESC, place) = 1 UNION ALL SELECT 'framework', library, files FROM ({_count("fr")})""",
-    "test_convention": f"""WITH {_SITES}, t AS (SELECT DISTINCT file_path AS file FROM source_files WHERE regexp_matches(file_path, '{C.TEST_FILE}')), ts AS (SELECT * FROM sites WHERE file IN (SELECT file FROM t)),
+    "test_convention": f"""WITH {_SITES}, t AS (SELECT DISTINCT file_path AS file FROM source_files WHERE regexp_matches(file_path, '{N.TEST_PATHS}')), ts AS (SELECT * FROM sites WHERE file IN (SELECT file FROM t)),
       {_values("te", C.TEST_FRAMEWORKS)}, {_users("te", "ts")}, b AS (SELECT library FROM (SELECT library, count(DISTINCT file) AS n, (SELECT min(place) FROM te x WHERE x.library = u.library) AS place FROM te_users u GROUP BY library) ORDER BY n DESC, place LIMIT 1)
       SELECT coalesce((SELECT library FROM b), CASE WHEN (SELECT bool_and(regexp_matches(file, '{C.GO_TEST_FILE}')) FROM t) THEN '{C.GO_TESTS}' END) AS library, count(*) AS files FROM t HAVING count(*) >= 2""",
 }

@@ -81,7 +81,7 @@ def ignored_files(spark, folder):
 
 
 def signal_cards(spark, folder):
-    """Front matter and body of the cards of all named clusters, by hash."""
+    """Front matter of the cards of all named clusters, by hash."""
     from orrery.operators import skills as B
     from orrery.queries.retrieval import clusters
 

@@ -32,15 +32,16 @@ def snippets(symbols: DataFrame, files: DataFrame, context: int = CONTEXT, cap:
     """``id, snippet``: the symbol's lines with ``context`` more on both sides, cut evenly at both ends to ``cap`` lines.
 
     ``symbols``: ``id, path, range_start_line, range_end_line, signature, docstring``; ``files``: ``path, text``. Without a
-    file the signature, else the docstring, else null. Only the files' texts are joined; lines are cut JVM-side.
+    file the signature, else the docstring, else null. A file is split once, before its symbols meet it; lines are cut
+    JVM-side.
     """
-    lines = F.split("text", "\r?\n")
-    joined = symbols.join(files.select("path", "text"), "path", "left").withColumn("ls", lines)
+    split = files.select("path", F.split("text", "\r?\n").alias("ls"))
+    joined = symbols.join(split, "path", "left")
     low = F.greatest(F.least("range_start_line", "range_end_line") - context, F.lit(1))
     high = F.least(F.greatest("range_start_line", "range_end_line") + context, F.size("ls"))
     joined = joined.withColumns({"lo": low, "hi": high})
     over = F.greatest(F.col("hi") - F.col("lo") + 1 - cap, F.lit(0))
     start = F.col("lo") + F.floor(over / 2).cast("int")
     length = F.least(F.col("hi") - F.col("lo") + 1, F.lit(cap))
-    cut = F.when(F.col("text").isNotNull() & (length > 0), F.array_join(F.slice("ls", start, length), "\n"))
+    cut = F.when(F.col("ls").isNotNull() & (length > 0), F.array_join(F.slice("ls", start, length), "\n"))
     return joined.select("id", F.coalesce(cut, "signature", "docstring").alias("snippet"))
