@@ -20,8 +20,8 @@ _ENDS = re.compile(r"[;{}]\s*$|^\s*$")
 
 
 def units_of(lines: list[str], limit: int) -> list[tuple[str, int, bool]]:
-    """Lines as units (text, line number, whether it continues its line); lines over half the limit are broken at blanks
-    and separators where there are any, else at the limit."""
+    """Lines as units (text, line number, whether it continues its line); lines over the limit are broken into parts of about
+    half of it, at blanks and separators where there are any."""
     half, out = max(1, limit // 2), []
     for number, line in enumerate(lines):
         if len(line) <= limit:
@@ -146,6 +146,7 @@ def oversized_symbols(symbols: DataFrame, files: DataFrame, limit: int) -> DataF
     own = F.slice("lens", F.col("low"), F.least(F.col("high"), F.size("lens")) - F.col("low") + 1)
     chars = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")) + F.size(own) - 1
     long = measured.select("item_id", "fp", "low", "high", "signature", chars.alias("chars")).filter(F.col("chars") > limit)
-    texts = files.select(F.col("file_path").alias("fp"), "text").filter("text is not null")
-    whole = long.join(texts, "fp").select("item_id", "low", "high", "signature", lines.alias("lines"))
+    # Each file is split once, before its symbols meet it.
+    texts = files.filter("text is not null").select(F.col("file_path").alias("fp"), lines.alias("lines"))
+    whole = long.join(texts, "fp").select("item_id", "low", "high", "signature", "lines")
     return whole.select("item_id", F.col("low").cast("int").alias("first_line"), "signature", F.slice("lines", F.col("low"), F.least(F.col("high"), F.size("lines")) - F.col("low") + 1).alias("lines"))
