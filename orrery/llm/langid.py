@@ -214,18 +214,22 @@ class Profiles:
         self.space, self.limit = Space(prototypes.shape[1]), table_limit
         self._ids, self._table = np.zeros(0, np.uint64), np.zeros((0, len(prototypes)), np.float32)
 
-    def _products(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of the table for sorted unique codes; new ones are added."""
-        new = np.setdiff1d(ids, self._ids, assume_unique=True)
-        if len(new):
-            rows = [self.space.grams(new[a : a + 2048]).astype(np.float32) @ self.prototypes.T for a in range(0, len(new), 2048)]
-            if len(self._ids) + len(new) > self.limit:
-                keep = np.isin(self._ids, ids, assume_unique=True)
-                self._ids, self._table = self._ids[keep], self._table[keep]
-            all_ids, table = np.concatenate([self._ids, new]), np.concatenate([self._table, *rows])
-            order = np.argsort(all_ids)
-            self._ids, self._table = all_ids[order], table[order]
-        return self._table[np.searchsorted(self._ids, ids)]
+    def _place(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of the table for codes; new ones are added."""
+        at = np.searchsorted(self._ids, ids)
+        known = at < len(self._ids)
+        known[known] = self._ids[at[known]] == ids[known]
+        if known.all():
+            return at
+        new = np.unique(ids[~known])
+        if len(self._ids) + len(new) > self.limit:
+            kept = np.unique(at[known])
+            self._ids, self._table = self._ids[kept], self._table[kept]
+        rows = [self.space.grams(new[a : a + 2048]).astype(np.float32) @ self.prototypes.T for a in range(0, len(new), 2048)]
+        all_ids, table = np.concatenate([self._ids, new]), np.concatenate([self._table, *rows])
+        order = np.argsort(all_ids)
+        self._ids, self._table = all_ids[order], table[order]
+        return np.searchsorted(self._ids, ids)
 
     def best(self, rows: np.ndarray) -> np.ndarray:
         """Cosine of unit vectors with every language (the greater of its two prototypes)."""
@@ -237,20 +241,21 @@ class Profiles:
         if not texts:
             return np.zeros((0, len(self.names)), np.float32)
         ids, owners, weights = gram_ids(texts)
-        unique, back = np.unique(ids, return_inverse=True)
-        table = self._products(unique)
-        out = np.zeros((len(texts), table.shape[1]), np.float32)
-        starts = np.argsort(owners, kind="stable")
-        rows = table[back[starts]] * weights[starts, None]
-        own = owners[starts]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        out[own[first]] = np.add.reduceat(rows, first, axis=0)
+        pair = owners.astype(np.int64) * (1 << 32) + self._place(ids)
+        order = np.argsort(pair, kind="stable")
+        pair, weights = pair[order], weights[order]
+        out = np.zeros((len(texts), self._table.shape[1]), np.float32)
+        if not len(pair):
+            return out[:, 0::2]
+        # Each n-gram of a text once, with its mass.
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        mass = np.add.reduceat(weights, first)
+        own, gram = pair[first] >> 32, pair[first] & 0xFFFFFFFF
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        here = own[starts]
+        out[here] = np.add.reduceat(self._table[gram] * mass[:, None], starts, axis=0)
         # Vectors of different n-grams are orthogonal but for noise, so the squared length is D times that of the counts.
-        pair = own.astype(np.int64) * len(unique) + back[starts]
-        key, where = np.unique(pair, return_inverse=True)
-        mass = np.bincount(where, weights[starts], len(key))
-        norm = np.sqrt(np.bincount(key // len(unique), mass**2, len(texts)) * self.space.dimension)
-        out /= np.where(norm == 0, 1, norm)[:, None]
+        out[here] /= np.sqrt(np.add.reduceat(mass * mass, starts) * self.space.dimension)[:, None]
         return np.maximum(out[:, 0::2], out[:, 1::2])
 
 
