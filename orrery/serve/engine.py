@@ -50,7 +50,9 @@ class Engine:
         if self.vectors is not None:
             vectors = self.vectors.select(F.col("symbol_id").alias("id"), "embedding").join(pool.select("id"), "id", "left_semi")
         else:
-            vectors = R.embed_column(pool.select("id"), "id", self.dim, embed=lambda texts, dim: [self.embed(t, dim) for t in texts])
+            one = self.embed
+            whole = R.hash_embeddings if one is R.hash_embedding else lambda texts, dim: [one(t, dim) for t in texts]
+            vectors = R.embed_column(pool.select("id"), "id", self.dim, embed=whole)
         vec = R.ranked(R.nearest_l2(vectors, self.embed(question, self.dim), 4 * top_k, ident="id"), "distance", "id").select("id", "rank")
         fused = R.fuse({"lexical": lex, "vector": vec}, "id").orderBy(F.col("score").desc(), "id").limit(top_k)
         return self.symbols.join(F.broadcast(fused), "id").select("id", "score", "reasons", "path", F.coalesce("signature", F.concat_ws(" ", "kind", "id")).alias("summary")).orderBy(F.col("score").desc(), "id")
