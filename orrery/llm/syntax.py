@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import gc
+import sys
 import warnings
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -23,18 +24,24 @@ from orrery.llm import syntax_go, syntax_js, syntax_python, syntax_rust
 from orrery.sources import lexing
 from orrery.sources.lexing import STRING, WORD, Source
 
+#: Calls one within another that a reader may make, some six for every level of a text. A deeper text counts as valid unless
+#: its lexer blames it.
+DEEPEST = 100_000
+
 
 @contextmanager
 def quiet() -> Iterator[None]:
     """While many files are read: the parser's warnings about odd literals are of no concern, nor is searching the many
-    short-lived lists of tokens for cycles."""
-    was = gc.isenabled()
+    short-lived lists of tokens for cycles; readers may go down as many levels as any file has."""
+    was, depth = gc.isenabled(), sys.getrecursionlimit()
     gc.disable()
+    sys.setrecursionlimit(max(depth, DEEPEST))
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", SyntaxWarning)
             yield
     finally:
+        sys.setrecursionlimit(depth)
         if was:
             gc.enable()
 

@@ -42,8 +42,8 @@ class _Reader:
         self.kinds, self.values, self.begins = [*s.kinds, "", "", ""], [*s.values, "", "", ""], [*s.begins, 1, 1, 1]
         self.starts, self.partner, self.n, self.i, self.ts = [*s.starts, 1 << 60, 1 << 61, 1 << 62], s.partner, len(s.kinds), 0, ts
         # Open functions; namespaces and top level, where imports may stand; no arrow with a result type in a condition's middle;
-        # the part of a conditional type behind its word extends; what is only declared.
-        self.functions, self.outer, self.plain_arrows, self.in_extends, self.ambient = 0, True, False, False, False
+        # the part of a conditional type behind its word extends; what is only declared; arrows with a result type so far.
+        self.functions, self.outer, self.plain_arrows, self.in_extends, self.ambient, self.typed = 0, True, False, False, False, 0
 
     # Tokens.
 
@@ -818,7 +818,7 @@ class _Reader:
     def middle(self) -> None:
         """The part of a condition between its question mark and its colon."""
         start, was = self.i, self.plain_arrows
-        functions = self.functions
+        functions, typed = self.functions, self.typed
         try:
             self.plain_arrows = False
             self.assignment()
@@ -826,9 +826,10 @@ class _Reader:
                 self.plain_arrows = was
                 return
         except _Wrong:
-            if not self.ts:
+            # Another reading differs only where an arrow with a result type was taken.
+            if self.typed == typed:
                 raise
-        if self.ts:
+        if self.typed != typed:
             self.i, self.functions, self.plain_arrows = start, functions, True
             self.assignment()
         self.plain_arrows = was
@@ -864,7 +865,10 @@ class _Reader:
             self.parameters()
             self.arrow_body()
             return True
-        return self.ts and after == ":" and not self.plain_arrows and self.tried(self.typed_arrow)
+        if self.ts and after == ":" and not self.plain_arrows and self.tried(self.typed_arrow):
+            self.typed += 1
+            return True
+        return False
 
     def template(self) -> None:
         """The parts of a template with what stands between them."""

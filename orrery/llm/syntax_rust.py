@@ -717,13 +717,12 @@ class _Reader:
                 return
         # What ends in a brace ends the statement.
         if self.kinds[self.i] == "{" or word in _BLOCKS or word == "async" and self.kinds[self.i + 1] == "{" or word == "const" and self.kinds[self.i + 1] == "{" or self.kinds[self.i] == LIFETIME and self.kinds[self.i + 1] == ":":
-            start = self.i
             self.operand(True, True)
-            if self.kinds[self.i] in (".", "?"):
-                self.i = start
-            else:
+            if self.kinds[self.i] not in (".", "?"):
                 self.take(";")
                 return
+            self.rest()
+            return
         elif self._macro_ahead():
             start = self.i
             self.path()
@@ -734,14 +733,18 @@ class _Reader:
                 self.take(";")
                 return
             self.i = start
-        self.expression()
+        self.rest(False)
+
+    def rest(self, begun: bool = True) -> None:
+        """An expression as a statement, or what follows its first value."""
+        self.expression(True, begun)
         if not self.take(";") and self.kinds[self.i] != "}":
             raise self.wrong("two values with nothing between")
 
     # Expressions.
 
-    def expression(self, structs: bool = True) -> None:
-        """One expression; without ``structs`` a brace behind a path opens a block."""
+    def expression(self, structs: bool = True, begun: bool = False) -> None:
+        """One expression; without ``structs`` a brace behind a path opens a block. Of one ``begun`` the first value is read."""
         kinds, values = self.kinds, self.values
         self.attributes()
         if kinds[self.i] in ("..", "..="):
@@ -750,7 +753,7 @@ class _Reader:
                 return
         while True:
             # Marks before a value.
-            while True:
+            while not begun:
                 kind = kinds[self.i]
                 if kind in ("-", "!", "*"):
                     self.i += 1
@@ -762,13 +765,16 @@ class _Reader:
                         self.take_word("mut")
                 else:
                     break
-            if kind == WORD and values[self.i] == "let":
+            if begun:
+                self.hang()
+                begun = False
+            elif kind == WORD and values[self.i] == "let":
                 self.i += 1
                 self.pattern()
                 self.need("=", "value expected")
                 # Only what binds tighter than the lazy operators belongs to it; the loop reads on.
                 continue
-            if self.operand(structs):
+            elif self.operand(structs):
                 return
             while kinds[self.i] == WORD and values[self.i] == "as":
                 self.i += 1
@@ -887,8 +893,13 @@ class _Reader:
                     self.literal(structs)
         else:
             raise self.wrong("operator without its value")
-        if statement:
-            return False
+        if not statement:
+            self.hang()
+        return False
+
+    def hang(self) -> None:
+        """What hangs on a value: fields, calls, places, question marks."""
+        kinds, values = self.kinds, self.values
         while True:
             kind = kinds[self.i]
             if kind == ".":
@@ -916,7 +927,7 @@ class _Reader:
                 self.expression()
                 self.need("]", "comma or closer expected")
             else:
-                return False
+                return
 
     def literal(self, structs: bool) -> None:
         """The fields of a struct behind its path."""
@@ -985,8 +996,7 @@ class _Reader:
             if self.kinds[self.i] == "{":
                 self.block()
                 if self.kinds[self.i] in (".", "?"):
-                    self.i = self.partner[self.i - 1]
-                    self.expression()
+                    self.expression(True, True)
                     if not self.take(",") and self.kinds[self.i] != "}":
                         raise self.wrong("comma or closer expected")
                 else:

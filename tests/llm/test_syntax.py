@@ -617,3 +617,19 @@ def test_long_heads():
     parameters = ", ".join(f"a{i}: u8" for i in range(400))
     assert syntax.fault_of(f"fn f({parameters}) -> u8 {{\n    let x = 1;\n    x\n}}\n", "rust") is None
     assert syntax.fault_of(f"if ({terms}) {{ f() }}\n", "javascript") is None
+
+
+def test_deep_texts():
+    """Levels are read as deep as they go, and a fault at the bottom of many is found at once."""
+    with syntax.quiet():
+        for n in (3000,):
+            assert syntax.fault_of("x = " + "(" * n + "1" + ")" * n, "javascript") is None
+            assert syntax.fault_of("x = " + "(" * n + "1 2" + ")" * n, "javascript")
+            assert syntax.fault_of("package a\nvar x = " + "(" * n + "1" + ")" * n + "\n", "go") is None
+            assert syntax.fault_of("const X: u8 = " + "(" * n + "1" + ")" * n + ";", "rust") is None
+        for language, text in {
+            "typescript": "x = " + "a ? " * 200 + "b c" + " : d" * 200, "rust": "fn f() { " + "if a { " * 200 + "b c" + " }.d()" * 200 + " }",
+            "javascript": "x = " + "[a ? (" * 200 + "b c" + ") : d]" * 200,
+        }.items():
+            assert syntax.fault_of(text, language)
+            assert syntax.fault_of(text.replace("b c", "b"), language) is None, language
