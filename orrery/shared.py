@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+_systems: dict[tuple, object] = {}
+
+
 class Shared:
     """Reads and writes small texts below one session's file systems."""
 
     def __init__(self, spark: SparkSession):
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._gateway = spark.sparkContext._gateway
+        self._gateway, self._app = spark.sparkContext._gateway, spark.sparkContext.applicationId
 
     def _at(self, path: str):
         where = self._jvm.org.apache.hadoop.fs.Path(path)
-        system = where.getFileSystem(self._conf)
-        # A local file that something else has replaced has no checksum of ours.
-        system.setVerifyChecksum(False)
-        system.setWriteChecksum(False)
-        return system, where
+        uri = where.toUri()
+        key = (self._app, uri.getScheme(), uri.getAuthority())
+        if key not in _systems:
+            # An instance of its own: a local file that something else has replaced has no checksum of ours.
+            _systems[key] = self._jvm.org.apache.hadoop.fs.FileSystem.newInstance(uri, self._conf)
+            _systems[key].setVerifyChecksum(False)
+            _systems[key].setWriteChecksum(False)
+        return _systems[key], where
 
     def exists(self, path: str) -> bool:
         system, where = self._at(path)
