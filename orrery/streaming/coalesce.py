@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Silence that ends a batch, and paths of a batch.
 GAP, MOST_PATHS = "600 milliseconds", 500
+#: Slots, each as long as the gap, that one window looks at.
+SPAN = 1 << 16
 
 
 @dataclass
@@ -26,7 +28,7 @@ class StreamStats:
     paused: bool = False
 
 
-def sessions(events: DataFrame, gap_seconds: float = 0.6, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
+def sessions(events: DataFrame, gap_seconds: float = 0.6, keys: tuple[str, ...] = ("repo",), span: int = SPAN) -> DataFrame:
     """Last kind of every path in every batch: ``repo, batch_start, batch_end, path, kind, ts``.
 
     ``events``: ``repo, path, kind, ts``; rows without a time are left out, equal times go by the greater kind. A batch
@@ -34,16 +36,26 @@ def sessions(events: DataFrame, gap_seconds: float = 0.6, keys: tuple[str, ...]
 
     Events are first reduced to the least and greatest time of every slot as long as the gap (two events in one slot are
     always of one batch), pre-aggregated. Batches are found among the slots, whose number depends on the time spanned and
-    not on the events, and go back to the events by an equi-join on the slot.
+    not on the events: within spans of ``span`` slots first, and what is open at the end of a span is carried into the next
+    by a window over the spans, so that no key is one task. They go back to the events by an equi-join on the slot.
     """
     gap = int(gap_seconds * 1e6)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     own = events.filter("ts is not null").withColumn("__us", micros).withColumn("__slot", F.floor(F.col("__us") / gap))
     slots = own.groupBy(*keys, "__slot").agg(F.min("__us").alias("a"), F.max("__us").alias("b"))
-    order = Window.partitionBy(*keys).orderBy("__slot")
-    fresh = F.coalesce(F.col("a") - F.lag("b").over(order) >= gap, F.lit(True))
-    slots = slots.withColumn("f", F.when(fresh, F.col("a")))
-    slots = slots.withColumn("start", F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    slots = slots.withColumn("__span", F.floor(F.col("__slot") / span))
+    order = Window.partitionBy(*keys, "__span").orderBy("__slot")
+    # Starts within a span; whether its first slot starts a batch depends on the span before.
+    slots = slots.withColumn("f", F.when(F.col("a") - F.lag("b").over(order) >= gap, F.col("a")))
+    slots = slots.withColumn("inner", F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = slots.groupBy(*keys, "__span").agg(F.min("a").alias("first"), F.max("b").alias("last"), F.max("f").alias("f"))
+    spans_in_order = Window.partitionBy(*keys).orderBy("__span")
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(spans_in_order) >= gap, F.lit(True))
+    whole = whole.withColumn("begun", F.when(fresh, F.col("first"))).withColumn("open", F.coalesce("f", "begun"))
+    carried = F.last("open", ignorenulls=True).over(spans_in_order.rowsBetween(Window.unboundedPreceding, -1))
+    whole = whole.select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("__span").alias("w_span"), F.coalesce("begun", carried).alias("enters"))
+    same = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys] + [F.col("__span") == F.col("w_span")]
+    slots = slots.join(whole, same).withColumn("start", F.coalesce("inner", "enters"))
     spans = slots.groupBy(*keys, "start").agg(F.max("b").alias("end"))
     named = slots.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__slot").alias("__s"), F.col("start").alias("__start"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__slot") == F.col("__s")]

@@ -87,3 +87,11 @@ def test_stream_gives_the_same_batches(spark, tmp_path):
     coalesce.stream_batches(spark.readStream.schema(schema).parquet(src), sink).awaitTermination(90)
     got = {(r["n_events"], tuple(sorted(r["last"].items()))) for r in spark.read.parquet(sink).collect()}
     assert {(2, (("a", "change"),)), (1, (("b", "add"),))} <= got
+
+
+@pytest.mark.parametrize("span", [1, 3, 50])
+def test_sessions_in_spans(spark, span):
+    rng = random.Random(span)
+    events = [(rng.choice(["r", "q", None]), f"p{rng.randrange(4)}", rng.choice(["add", "change"]), T0 + datetime.timedelta(milliseconds=rng.randrange(40_000))) for _ in range(200)]
+    paths = coalesce.sessions(spark.createDataFrame(events, "repo string, path string, kind string, ts timestamp"), 0.6, span=span)
+    assert {(r["repo"], r["batch_start"], r["path"], r["kind"]) for r in paths.collect()} == brute_sessions(events, 0.6)
