@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,107 +112,179 @@ def write_back_ranks(symbols: DataFrame, ranks: DataFrame) -> DataFrame:
     return symbols.join(ranks.withColumnRenamed("rank", "__rank"), "id", "left").withColumn("pagerank", F.coalesce("__rank", "pagerank")).drop("__rank")
 
 
-#: Links (both directions counted) and characters of their ids up to which one task goes on with Louvain's moves.
-FEW_LINKS, FEW_CHARACTERS = 800_000, 120_000_000
+#: Links (both directions counted) up to which one task goes on with Louvain's moves, of some 50 bytes each at most; links whose gains
+#: are worked out together.
+FEW_LINKS, LINKS_AT_ONCE = 6_000_000, 1_000_000
+
+
+def _rows_of(start: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Numbers of the links of the given nodes, in order; the links of node i are those from start[i] to start[i + 1]."""
+    size = start[nodes + 1] - start[nodes]
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[nodes] - ends + size, size)
+
+
+def _moves_of(nodes: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray, c: np.ndarray, k: np.ndarray, tot: np.ndarray, scale: float, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the given nodes (in order, each with links) the community of greatest gain, and whether a move there gains."""
+    n, links = len(c), _rows_of(start, nodes)
+    key = np.repeat(nodes, start[nodes + 1] - start[nodes]) * n + c[y[links]]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    node, nc = key[starts] // n, key[starts] % n
+    sums = np.add.reduceat(weight[links[order]], starts)
+    own = nc == c[node]
+    gain = np.floor((sums - scale * k[node] * (tot[nc] - np.where(own, k[node], 0)) / total) * 1e9 + 0.5) / 1e9
+    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    most = np.maximum.reduceat(gain, first)
+    # The last of those with the greatest gain; none where a gain is no number.
+    at = np.where(gain == np.repeat(most, np.diff(np.r_[first, len(node)])), np.arange(len(node)), -1)
+    best = nc[np.maximum(np.maximum.reduceat(at, first), 0)]
+    stay = np.maximum.reduceat(np.where(own, np.maximum(gain, 0), 0), first)
+    return best, (most > stay + 1e-9) & (best != c[nodes])
 
 
 def settle(a: np.ndarray, b: np.ndarray, w: np.ndarray, coins: np.ndarray, resolution: float, bound: int = 1000) -> np.ndarray:
     """Community of every node, named by its smallest member, after the passes of ``louvain`` on links between numbers.
 
-    ``a, b, w``: links in both directions, loops once with their whole weight; numbers are in the order of names; ``coins``
-    holds 64 bits a node, one for each round in turn.
+    ``a, b, w``: links in both directions, loops once with their whole weight; numbers are in the order of names and each
+    has a link; ``coins`` holds 64 bits a node, one for each round in turn. A round works out anew only what the moves of
+    the round before can have changed: nodes in a community that took or lost a node, and those linked to them.
     """
-    n, total = len(coins), float(w.sum())
-    label = np.arange(n)
+    total = float(w.sum())
+    first = np.arange(len(coins))  # the name of every number of this pass
+    label = np.arange(len(coins))
     for _ in range(bound):
+        n = len(first)
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        del order
         k = np.bincount(a, w, n)
-        present = np.flatnonzero(np.bincount(a, minlength=n))
-        c, moved_any = np.arange(n), False
         apart = a != b
-        x, y, weight = a[apart], b[apart], w[apart]
+        y, weight = b[apart], w[apart]
+        start = np.r_[0, np.cumsum(np.bincount(a[apart], minlength=n))]
+        linked = start[1:] > start[:-1]
+        del apart
+        c, best, wants, flips = np.arange(n), np.arange(n), np.zeros(n, bool), coins[first]
+        todo, moved_any = np.flatnonzero(linked), False
         for turn in range(bound):
-            tot = np.bincount(c[present], k[present], n)
-            key = x.astype(np.int64) * n + c[y]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            node, nc = key[starts] // n, key[starts] % n
-            links = np.add.reduceat(weight[order], starts) if len(starts) else np.zeros(0)
-            own = nc == c[node]
-            gain = np.floor((links - resolution * k[node] * (tot[nc] - np.where(own, k[node], 0)) / total) * 1e9 + 0.5) / 1e9
-            stay = np.zeros(n)
-            stay[node[own]] = np.maximum(gain[own], 0)
-            order = np.lexsort((nc, gain, node))
-            node, nc, gain = node[order], nc[order], gain[order]
-            last = np.flatnonzero(np.r_[node[1:] != node[:-1], True]) if len(node) else np.zeros(0, int)
-            node, nc, gain = node[last], nc[last], gain[last]
-            wants = (gain > stay[node] + 1e-9) & (nc != c[node])
+            tot = np.bincount(c, k, n)
+            ends = np.cumsum(start[todo + 1] - start[todo])
+            for part in np.split(todo, np.searchsorted(ends, np.arange(LINKS_AT_ONCE, ends[-1], LINKS_AT_ONCE))) if len(todo) else ():
+                if len(part):
+                    best[part], wants[part] = _moves_of(part, start, y, weight, c, k, tot, resolution, total)
             if not wants.any():
                 break
-            moves = wants & ((coins[node] >> np.uint64(turn % 64)) & np.uint64(1)).astype(bool)
-            c[node[moves]] = nc[moves]
-            moved_any |= bool(moves.any())
+            moves = np.flatnonzero(wants)
+            moves = moves[((flips[moves] >> np.uint64(turn % 64)) & np.uint64(1)).astype(bool)]
+            touched = np.zeros(n, bool)
+            touched[c[moves]] = True
+            c[moves] = best[moves]
+            touched[c[moves]] = True
+            touched = touched[c]
+            near = touched.copy()
+            near[y[_rows_of(start, np.flatnonzero(touched))]] = True
+            todo = np.flatnonzero(near & linked)
+            moved_any |= bool(len(moves))
         else:
             raise RuntimeError(f"louvain: nodes still move after {bound} rounds")
         if not moved_any:
-            return label
+            return first[label]
+        # Communities in the order of their smallest members are the numbers of the next pass.
         names = np.full(n, n)
-        np.minimum.at(names, c[present], present)
-        new = np.arange(n)
-        new[present] = names[c[present]]
-        label = new[label]
-        key = new[a].astype(np.int64) * n + new[b]
-        found, back = np.unique(key, return_inverse=True)
-        a, b, w = found // n, found % n, np.bincount(back, w)
+        np.minimum.at(names, c, np.arange(n))
+        kept = np.unique(names[c])
+        new = np.searchsorted(kept, names[c])
+        label, first = new[label], first[kept]
+        found, back = np.unique(new[a] * len(kept) + new[b], return_inverse=True)
+        a, b, w = (found // len(kept)).astype(np.int32), (found % len(kept)).astype(np.int32), np.bincount(back, w)
     raise RuntimeError(f"louvain: communities still merge after {bound} passes")
 
 
-def _settled(resolution: float, bound: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if not len(rows):
-            return
-        codes, names = pd.factorize(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), sort=True)
-        coins = np.zeros(len(names), np.uint64)
-        coins[codes[: len(rows)]] = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
-        label = settle(codes[: len(rows)], codes[len(rows) :], rows["w"].to_numpy(), coins, resolution, bound)
-        for at in range(0, len(names), 50_000):
-            yield pd.DataFrame({"a": names[at : at + 50_000], "c": names[label[at : at + 50_000]]})
+def _settled(links: int, nodes: int, resolution: float, bound: int):
+    """``settle`` on rows ``a, b, w`` of the links and, without ``b``, ``a, h`` of the nodes; numbers may have gaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, w, name, coins = np.empty(links, np.int64), np.empty(links, np.int64), np.empty(links), np.empty(nodes, np.int64), np.empty(nodes, np.uint64)
+        at = n = 0
+        for batch in batches:
+            whole = batch.column("b").is_valid()
+            part, own = batch.filter(whole), batch.filter(pc.invert(whole))
+            for to, column in ((a, "a"), (b, "b"), (w, "w")):
+                to[at : at + len(part)] = part.column(column).to_numpy()
+            name[n : n + len(own)] = own.column("a").to_numpy()
+            coins[n : n + len(own)] = own.column("h").to_numpy().view(np.uint64)
+            at, n = at + len(part), n + len(own)
+        if (at, n) != (links, nodes):
+            raise RuntimeError(f"louvain: {at} links and {n} nodes came of {links} and {nodes}")
+        order = np.argsort(name)
+        name, coins = name[order], coins[order]
+        a, b = np.searchsorted(name, a).astype(np.int32), np.searchsorted(name, b).astype(np.int32)
+        label = settle(a, b, w, coins, resolution, bound)
+        for at in range(0, len(name), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(name[at : at + 50_000]), pa.array(name[label[at : at + 50_000]])], ["a", "c"])
 
     return run
 
 
+def numbered(cuts: Cuts, ids: DataFrame) -> DataFrame:
+    """``id, a, h``: distinct ids numbered from 0 in their byte order, with a hash of each; by one range sort."""
+    ordered = ids.distinct().repartitionByRange("id").sortWithinPartitions("id")
+    low = (1 << 33) - 1
+    ordered = cuts.cut(ordered.select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit(low)).alias("at")))
+    # One row a partition.
+    sizes = dict(ordered.groupBy("p").count().collect())
+    before, offsets = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(p, 0)
+    offset = F.get(F.array(*[F.lit(x).cast("bigint") for x in offsets or [0]]), F.col("p"))
+    return ordered.select("id", (F.col("at") + offset).alias("a"), F.xxhash64("id").alias("h"))
+
+
 def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000, few: int = FEW_LINKS) -> DataFrame:
     """``id, community`` by synchronous local moving with modularity gains, then contraction, until neither changes anything.
 
-    Undirected weights are summed. A node moves to the neighbouring community of greatest gain (ties: smaller name); only
+    Undirected weights are summed. A node moves to the neighbouring community of greatest gain (ties: larger name); only
     half of the nodes, by the bits of a hash in turn, may move at once, so that neighbours do not swap for ever.
     A pass ends when no node gains by a move, whether or not the hash lets it; the last pass is one without a move. More
     than ``bound`` rounds in a pass or ``bound`` passes are an error, never a result.
-    Deterministic. Communities are named by their smallest member id. Nodes without edges do not appear. A pass over at most
-    ``few`` links, of bounded size, and all later ones are made by one task, with the same moves and coins.
+    Deterministic. Communities are named by their smallest member id. Nodes without edges do not appear. All moves are made
+    on numbers in the order of the ids. A pass over at most ``few`` links and all later ones are made by one task, with the
+    same moves and coins.
     """
     cuts = Cuts(edges.sparkSession, "louvain")
-    both = edges.filter("from_id is not null and to_id is not null").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    level = cuts.cut(both)
+    plain = edges.filter("from_id is not null and to_id is not null").groupBy("from_id", "to_id").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    plain = cuts.cut(plain)
+    nodes = numbered(cuts, plain.select(F.col("from_id").alias("id")).unionByName(plain.select(F.col("to_id").alias("id"))))
+    ends = plain.join(nodes.select(F.col("id").alias("from_id"), "a"), "from_id").join(nodes.select(F.col("id").alias("to_id"), F.col("a").alias("b")), "to_id").select("a", "b", "w")
+    level = cuts.cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
     level_at, member_at = cuts.last(), None
+    cuts.drop(1)
     total = level.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0]
-    member = level.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
+    member = nodes.select("a", F.col("a").alias("c"))
+
+    def named(member: DataFrame) -> DataFrame:
+        out = member.join(nodes.select("id", "a"), "a").select("id", "c")
+        return out.join(nodes.select(F.col("id").alias("community"), F.col("a").alias("c")), "c").select("id", "community")
+
     if not total:
-        return member
+        return named(member)
     for _ in range(bound):
-        links, characters = level.agg(F.count("*"), F.coalesce(F.sum(F.length("a") + F.length("b")), F.lit(0))).head()
-        if links <= few and characters <= FEW_CHARACTERS:
-            rest = level.select("a", "b", "w", F.xxhash64("a").alias("h")).repartition(1).mapInPandas(_settled(resolution, bound), "a string, c string")
+        links = level.count()
+        here = level.select("a").distinct()
+        if links <= few:
+            rows = level.select("a", "b", "w", F.lit(None).cast("bigint").alias("h"))
+            rows = rows.unionByName(nodes.join(here, "a").select("a", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("w"), "h"))
+            rest = rows.repartition(1).mapInArrow(_settled(links, here.count(), resolution, bound), "a bigint, c bigint")
             try:
                 rest = cuts.cut(rest)
             except PySparkException as e:
                 if "louvain: " in str(e):
                     raise RuntimeError("louvain: " + str(e).split("louvain: ")[1].split("\n")[0]) from None
                 raise
-            return member.join(rest.withColumnRenamed("a", "community"), "community").select("id", F.col("c").alias("community"))
-        state = cuts.cut(level.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"))
+            return named(rest if member_at is None else member.join(rest.select(F.col("a").alias("c"), F.col("c").alias("to")), "c").select("a", F.col("to").alias("c")))
+        state = cuts.cut(level.groupBy("a").agg(F.sum("w").alias("k")).join(nodes.select("a", "h"), "a").select("a", F.col("a").alias("c"), "k", "h"))
         state_at = cuts.last()
         moved_any = False
         for turn in range(bound):
@@ -224,24 +297,24 @@ def louvain(edges: DataFrame, resolution: float = 1.5, bound: int = 1000, few: i
             stay = cand.filter("nc = c").select("a", F.col("gain").alias("stay"))
             best = cand.groupBy("a").agg(F.max_by("nc", F.struct("gain", F.col("nc"))).alias("nc"), F.max("gain").alias("gain"))
             chosen = state.join(best, "a", "left").join(stay, "a", "left")
-            may = F.shiftrightunsigned(F.xxhash64("a"), turn % 64).bitwiseAND(F.lit(1)) == 1
+            may = F.shiftrightunsigned("h", turn % 64).bitwiseAND(F.lit(1)) == 1
             wants = F.coalesce((F.col("gain") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0)) + 1e-9) & (F.col("nc") != F.col("c")), F.lit(False))
             chosen = chosen.withColumn("wants", wants).withColumn("moved", F.col("wants") & may)
-            fresh = cuts.cut(chosen.select("a", F.when(F.col("moved"), F.col("nc")).otherwise(F.col("c")).alias("c"), "k", "wants", "moved"))
+            fresh = cuts.cut(chosen.select("a", F.when(F.col("moved"), F.col("nc")).otherwise(F.col("c")).alias("c"), "k", "h", "wants", "moved"))
             cuts.drop(state_at)
             state_at = cuts.last()
             wanting, moves = fresh.agg(F.count_if("wants"), F.count_if("moved")).head()
-            state = fresh.select("a", "c", "k")
+            state = fresh.select("a", "c", "k", "h")
             moved_any |= moves > 0
             if not wanting:
                 break
         else:
             raise RuntimeError(f"louvain: nodes still move after {bound} rounds")
         if not moved_any:
-            return member
+            return named(member)
         names = state.groupBy("c").agg(F.min("a").alias("name"))
         state = state.join(names, "c").select("a", F.col("name").alias("c"))
-        member = cuts.cut(member.join(state.withColumnRenamed("a", "community"), "community").select("id", F.col("c").alias("community")))
+        member = cuts.cut(member.join(state.select(F.col("a").alias("c"), F.col("c").alias("to")), "c").select("a", F.col("to").alias("c")))
         old, member_at = [level_at, state_at] + [member_at] * (member_at is not None), cuts.last()
         level = level.join(state.select("a", F.col("c").alias("ca")), "a").join(state.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
         level = cuts.cut(level.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,72 @@ def test_louvain_in_one_task_and_in_rounds(spark):
     rounds = {r["id"]: r["community"] for r in G.louvain(df, resolution=1.0, few=0).collect()}
     assert one == rounds and one["x"] == "x" and None not in one
     assert all(c == min(i for i, d in one.items() if d == c) for c in one.values())
+
+
+def test_louvain_numbers_ids_in_their_order(spark, monkeypatch):
+    """Ids do not count towards the size of a task, so long ones make no rounds over tables."""
+    written, cut = [], G.Cuts.cut
+    monkeypatch.setattr(G.Cuts, "cut", lambda self, df, *a: written.append(1) or cut(self, df, *a))
+    n = 100_000
+    name = F.format_string("%s%08d", F.lit("é" * 300), F.col("id"))
+    df = spark.range(n).select(name.alias("from_id"), F.format_string("%s%08d", F.lit("é" * 300), F.col("id") - F.col("id") % 5).alias("to_id"), F.lit(1.0).alias("weight"))
+    member = G.louvain(df)
+    assert len(written) <= 5
+    assert member.count() == n and member.groupBy("community").count().filter("count = 5").count() == n / 5
+    ids = ["b", "Z", "é", "a/b", "a", "ab", "\U0001f600", "z"]
+    got = G.numbered(G.Cuts(spark, "numbers"), spark.createDataFrame([(x,) for x in ids + ids[:3]], "id string")).orderBy("a").collect()
+    assert [r["id"] for r in got] == sorted(ids, key=lambda x: x.encode()) and [r["a"] for r in got] == list(range(len(ids)))
+
+
+@pytest.mark.parametrize("at_once", [7, 1_000_000])
+def test_louvain_works_out_only_what_moves_changed(monkeypatch, at_once):
+    """The same communities as by working out every node in every round."""
+    monkeypatch.setattr(G, "LINKS_AT_ONCE", at_once)
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n = 60
+        w = np.zeros((n, n))
+        for x, y in zip(rng.integers(0, n, 150), np.minimum(rng.integers(0, n, 150), rng.integers(0, n, 150))):
+            w[x, y] += (weight := float(rng.integers(1, 4)))
+            w[y, x] += weight
+        used = np.flatnonzero(w.sum(axis=1))
+        w = w[np.ix_(used, used)]
+        coins = rng.integers(0, 2**63, len(w)).astype(np.uint64)
+        a, b = np.nonzero(w)
+        mixed = rng.permutation(len(a))
+        got = G.settle(a[mixed], b[mixed], w[a, b][mixed], coins, 1.0)
+        assert got.tolist() == plain_louvain(w, coins.tolist())
+
+
+def plain_louvain(w, coins):
+    total, label, names = w.sum(), list(range(len(w))), list(range(len(w)))
+    while True:
+        n, k, turn, moved = len(w), w.sum(axis=1), 0, False
+        c = list(range(n))
+        while True:
+            tot = [sum(k[y] for y in range(n) if c[y] == z) for z in range(n)]
+            wants = {}
+            for x in range(n):
+                links = {}
+                for y in np.flatnonzero(w[x]):
+                    if y != x:
+                        links[c[y]] = links.get(c[y], 0) + w[x, y]
+                gains = {z: round(v - k[x] * (tot[z] - (k[x] if z == c[x] else 0)) / total, 9) for z, v in links.items()}
+                if gains:
+                    best = max(gains, key=lambda z: (gains[z], z))
+                    if best != c[x] and gains[best] > max(gains.get(c[x], 0), 0) + 1e-9:
+                        wants[x] = best
+            if not wants:
+                break
+            for x, z in wants.items():
+                if coins[names[x]] >> turn % 64 & 1:
+                    c[x], moved = z, True
+            turn += 1
+        if not moved:
+            return [names[x] for x in label]
+        least = {z: c.index(z) for z in set(c)}
+        order = sorted(least, key=least.get)
+        new = [order.index(z) for z in c]
+        label, names = [new[x] for x in label], [names[least[z]] for z in order]
+        one = np.eye(len(order))[new]
+        w = one.T @ w @ one
