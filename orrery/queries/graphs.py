@@ -113,8 +113,8 @@ def pagerank_mass(spark, folder):
 
 
 def louvain_cover(spark, folder):
-    """Nodes of the summed graph, and those in no or in several communities (none)."""
-    graph = G.build_graph(symbols(spark, folder), table(spark, folder, "edges"))
+    """Nodes of the summed graph, and those in no or in several communities (none). The graph is built once."""
+    graph = cut(G.build_graph(symbols(spark, folder), table(spark, folder, "edges")), "graph")
     member = G.louvain(graph).groupBy("id").agg(F.count("*").alias("k"))
     nodes = graph.select(F.col("from_id").alias("id")).unionByName(graph.select(F.col("to_id").alias("id"))).distinct()
     return nodes.join(member, "id", "left").agg(F.count("*").alias("nodes"), F.count_if(~F.col("k").eqNullSafe(1)).alias("wrong"))

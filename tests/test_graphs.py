@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.operators import graph as G
 from orrery.operators import hierarchy as H
 from orrery.operators import reach as R
-from orrery.queries.graphs import pagerank_converged
+from orrery.queries.graphs import louvain_cover, pagerank_converged
 
 
 def brute(parents):
@@ -236,3 +236,9 @@ def plain_louvain(w, coins):
         label, names = [new[x] for x in label], [names[least[z]] for z in order]
         one = np.eye(len(order))[new]
         w = one.T @ w @ one
+
+
+def test_louvain_cover_builds_the_graph_once(spark, data):
+    out = louvain_cover(spark, data)
+    assert not [f for f in out.inputFiles() if "symbols.parquet" in f or "edges.parquet" in f]
+    assert out.head()["nodes"] > 0 and out.head()["wrong"] == 0
