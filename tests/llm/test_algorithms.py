@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,3 +157,33 @@ def test_mix(spark):
     small = mixing.mix(df, targets, "doc_id", "text", "source", total=500)[1].agg(F.sum("tokens")).head()[0]
     assert abs(small - 500) <= 60
     assert mixing.mix(df.filter(F.lit(False)), targets, "doc_id", "text", "source")[0].count() == 0
+
+
+@pytest.mark.parametrize("list_size", [64, 1000])
+def test_shard_is_searched_in_bounded_memory(list_size):
+    """A task holds its vectors in single precision and k pairs a row and list: no objects for pairs, no copies in double."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    dim, k, stored, asked = 64, 5, 3000, 20_000
+    centre = rng.normal(size=(30, dim))
+    rows = (centre[rng.integers(0, 30, asked)] + 0.3 * rng.normal(size=(asked, dim))).astype(np.float32)
+    names = [f"n{x:06d}" for x in rng.permutation(asked)]
+    vectors = pa.ListArray.from_arrays(np.arange(asked + 1, dtype=np.int32) * dim, rows.ravel())
+    lists = pa.array([[0, 1]] * asked, pa.list_(pa.int32()))
+    left = pa.table({"rep": names, "v": vectors, "lists": lists})
+    right = pa.table({"srep": names[:stored], "sv": vectors[:stored], "slists": pa.array([[x % 2] for x in range(stored)], pa.list_(pa.int32()))})
+    tracemalloc.start()
+    found = knn.search_shard(left, right, k, list_size, knn.PROBE_RATIO)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * rows.nbytes
+    assert found.schema.names == ["rep", "found"] and len(found) == asked
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    number, right_ones = {x: i for i, x in enumerate(names)}, 0
+    for row in found.slice(0, 200).to_pylist():
+        cos = unit[:stored] @ unit[number[row["rep"]]]
+        best = [x for x in np.argsort(-cos) if names[x] != row["rep"]][:k]
+        assert [p["cosine"] for p in row["found"]] == sorted((p["cosine"] for p in row["found"]), reverse=True) and len(row["found"]) == k
+        right_ones += len({names[x] for x in best} & {p["other"] for p in row["found"]})
+    assert right_ones >= (1.0 if list_size == 1000 else 0.95) * 200 * k
