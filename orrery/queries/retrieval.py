@@ -35,9 +35,15 @@ def query_vector(spark: SparkSession, folder: str) -> list[float]:
 
 
 def lexical_search(spark, folder):
-    # Nine places in binary arithmetic; NaN stays.
-    places = F.when(F.isnan("pagerank"), F.col("pagerank")).otherwise(F.floor(F.col("pagerank") * 1e9 + 0.5) / 1e9)
-    return R.top(R.lexical(symbols(spark, folder), WORDS), 80).select("id", "path", places.alias("pagerank"))
+    # Nine places in binary arithmetic, halves away from zero; NaN stays, and so does what is infinite when multiplied.
+    size = F.abs("pagerank") * 1e9
+    low = F.floor(size).cast("double")
+    whole = F.when(size < 2.0**52, low + F.when(size - low >= 0.5, 1.0).otherwise(0.0)).otherwise(size)
+    places = F.when(size < float("inf"), F.signum("pagerank") * whole / 1e9).otherwise(F.col("pagerank"))
+    # In the order NaN is as large as infinity.
+    order = F.when(F.isnan("pagerank"), float("inf")).otherwise(F.col("pagerank"))
+    found = R.lexical(symbols(spark, folder), WORDS).orderBy(order.desc_nulls_last(), "id").limit(80)
+    return found.select("id", "path", places.alias("pagerank"))
 
 
 def lexical_lang_filter(spark, folder):

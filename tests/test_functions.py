@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import globs, since, text
 from orrery.operators import clustering, retrieval, scanners, skills
-from orrery.queries.retrieval import path_equality
+from orrery.queries.retrieval import ORACLES, lexical_search, path_equality
 
 
 def test_globs():
@@ -115,3 +115,28 @@ def test_path_equality_keeps_symbols_without_a_rank(spark, tmp_path):
     syms.withColumn("range_start_line", F.lit(1)).withColumn("range_end_line", F.lit(1)).write.parquet(f"{tmp_path}/symbols.parquet")
     got = {(r["path"], r["n"]): r["id"] for r in path_equality(spark, str(tmp_path)).collect()}
     assert got == {("f", 1): "f::d", ("f", 2): "f::b", ("f", 3): "f::a", ("f", 4): "f::c", ("f", 5): "f::e", ("g", 1): "g::x"}
+
+
+def test_lexical_search_of_large_and_infinite_ranks(spark, tmp_path):
+    """As its SQL: infinity and NaN go first by id and stay what they are, large ranks are rounded, not cut at the greatest integer."""
+    import math
+
+    import duckdb
+
+    inf, nan = float("inf"), float("nan")
+    ranks = [("a", inf), ("b", nan), ("c", inf), ("d", -inf), ("e", None), ("f", 9.3e9), ("g", 1e300), ("h", 2.5e-9), ("i", -2.5e-9), ("j", 2107054.9932206185), ("k", 4.999999999999999e-10), ("l", 1e5 + 0.123456789049), ("m", 0.0)]
+    rows = [(f"merge::{i}", "f", r, 1) for i, r in ranks]
+    syms = spark.createDataFrame(rows, "id string, path string, pagerank double, updated_at_epoch int")
+    for c in ("language", "kind", "signature", "docstring", "cluster_id", "updated_at_commit"):
+        syms = syms.withColumn(c, F.col("path"))
+    for c in ("range_start_line", "range_end_line"):
+        syms = syms.withColumn(c, F.lit(1))
+    syms.coalesce(1).write.parquet(f"{tmp_path}/symbols.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW symbols AS SELECT * FROM '{tmp_path}/symbols.parquet/*.parquet'")
+
+    def plain(rows):
+        return [(r[0], r[1], "nan" if r[2] is not None and math.isnan(r[2]) else r[2]) for r in rows]
+
+    got = plain(lexical_search(spark, str(tmp_path)).collect())
+    assert got == plain(con.execute(ORACLES["lexical_search"]).fetchall()) and len(got) == len(ranks)
